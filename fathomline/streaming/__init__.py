@@ -1,0 +1 @@
+"""Empty on purpose: every dataflow covered here is a batch one."""
