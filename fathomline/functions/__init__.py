@@ -5,6 +5,7 @@ from fathomline.functions.missing import (
     ratio,
     strict_mean,
     strict_sum,
+    strict_sum_over,
     strict_sum_where,
 )
 from fathomline.functions.text import (
@@ -27,5 +28,6 @@ __all__ = [
     "replace_first_literal",
     "strict_mean",
     "strict_sum",
+    "strict_sum_over",
     "strict_sum_where",
 ]

@@ -43,3 +43,10 @@ def strict_sum_where(condition: Column, value: Column | str, empty: float | None
     known = F.count(F.when(condition, value))
     total = F.when((hits > 0) & (hits == known), F.sum(F.when(condition, value)))
     return total if empty is None else F.when(hits == 0, F.lit(empty)).otherwise(total)
+
+
+def strict_sum_over(value: Column | str, window) -> Column:
+    """``strict_sum`` over a whole window partition."""
+    value = _column(value)
+    complete = F.count(value).over(window) == F.count(F.lit(1)).over(window)
+    return F.when(complete, F.sum(value).over(window))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,4 +36,5 @@ def replace_first(value: Column, pattern: str, replacement: str = "") -> Column:
 
 def replace_first_literal(value: Column, text: str, replacement: str = "") -> Column:
     """Replace only the first occurrence of a literal text."""
-    return replace_first(value, re.escape(text), replacement)
+    at = F.instr(value, text)
+    return F.when(at > 0, F.overlay(value, F.lit(replacement), at, F.lit(len(text)))).otherwise(value)

@@ -31,4 +31,4 @@ def lookup_join(
         return fact.join(lookup, on, how)
     kept = settled(lookup)
     small = kept.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(kept) if small else kept, on, how)
+    return fact.join(F.broadcast(kept) if small else kept.hint("merge"), on, how)

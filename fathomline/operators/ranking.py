@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fathomline.session import settled
+
+SAME = 1e-12
+
 
 def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
     """Rows whose measure is at least the n-th largest one.
 
     The n-th largest value comes from per-partition top-n lists, so no task sorts
-    the whole table as a rank over an unpartitioned window would.
+    the whole table as a rank over an unpartitioned window would. The measure may be
+    a sum of doubles that is evaluated once for the list and once for the rows and
+    differs in its last digits; values closer than ``SAME`` count as equal.
     """
     bar = (
         df.select(measure)
@@ -22,7 +28,7 @@ def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
         .agg(F.min(measure).alias("bar"))
         .scalar()
     )
-    return df.filter(F.col(measure) >= bar)
+    return df.filter(F.col(measure) >= bar - F.abs(bar) * SAME)
 
 
 def exact_quantiles(
@@ -38,15 +44,16 @@ def exact_quantiles(
     the balance, never the result. Equal values are merged first, so a hot value is
     one row.
     """
-    counts = (
+    # written once: a value must fall in the same bucket each time it is read
+    counts = settled(
         df.filter(F.col(value).isNotNull())
         .groupBy(F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = counts.agg(F.percentile_approx("v", steps, F.lit(buckets * 40)).alias("e")).scalar()
-    placed = counts.select(
-        "v", "n", F.size(F.filter(F.coalesce(edges, F.array(F.lit(0.0))), lambda e: e < F.col("v"))).alias("b")
+    placed = counts.select("v", "n", edges.alias("edges")).select(
+        "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("b")
     )
     # at most `buckets` rows from here until the wanted buckets are known
     sizes = placed.groupBy("b").agg(F.sum("n").alias("m"))

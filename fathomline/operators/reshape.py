@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.session import settled
+
 
 def pivot_wider(
     df: DataFrame,
@@ -73,23 +75,18 @@ def complete(
 
     The first key stays distributed and every row of it is expanded by the value
     sets of the others, so put the key with most values first. The value sets come
-    from one scalar subquery and the product needs no join. ``cells`` should be
-    aggregated: the measures are kept in all three branches so that they read
-    the same exchange and the facts are scanned once.
+    from one scalar subquery and the product needs no join. ``cells`` are aggregates:
+    they are settled, so that the facts behind them are read once and not for each
+    of the three branches.
     """
+    cells = settled(cells)
     groups = [[key] if isinstance(key, str) else list(key) for key in keys]
     names = [name for group in groups for name in group]
     measures = [name for name in cells.columns if name not in names]
-    if measures:
-        probe = F.col(measures[0])
-        observed = cells.filter(probe.isNull() | probe.isNotNull())
-    else:
-        observed = cells
-
     first, *others = groups
-    product = observed.select(*first).distinct()
+    product = cells.select(*first).distinct()
     if others:
-        sets = observed.agg(
+        sets = cells.agg(
             F.struct(*[F.collect_set(F.struct(*group)).alias("_".join(group)) for group in others]).alias("sets")
         ).scalar()
         product = product.select("*", sets.alias("_sets"))

@@ -19,6 +19,7 @@ from fathomline.functions import (
     ratio,
     strict_mean,
     strict_sum,
+    strict_sum_over,
     strict_sum_where,
 )
 from fathomline.operators import clean_names, complete, pivot_wider, top_with_ties
@@ -36,6 +37,7 @@ from fathomline.plans.labels import (
     keep_or_other,
     ordinal,
 )
+from fathomline.session import settled
 
 COMPLEX_ORDER = [SST, NON_SST]
 
@@ -147,7 +149,7 @@ def nonsst_share(catch: DataFrame) -> DataFrame:
         *[strict_sum_where(group == g, "tons", 0.0).alias(g) for g in (SST, NON_SST)]
     )
     share = ratio(F.col(NON_SST), F.col(NON_SST) + F.col(SST)) * 100
-    shares = wide.withColumn("prop_nonsst", share)
+    shares = settled(wide.withColumn("prop_nonsst", share))
     mean = shares.agg(strict_mean("prop_nonsst").alias("m")).scalar()
     return shares.withColumn("mean_prop", mean)
 
@@ -224,7 +226,11 @@ def top_fisheries(catch: DataFrame, n: int = 5) -> DataFrame:
 
     The n largest over both groups together keep their name, ties included.
     """
-    sums = yearly(_with_fishery(catch), "fishery", "complex")
+    return _shown_names(_with_fishery(catch), "tons", n)
+
+
+def _shown_names(rows: DataFrame, measure: str, n: int) -> DataFrame:
+    sums = settled(rows.groupBy("fishery", "complex").agg(strict_sum(measure).alias("catch")))
     top = top_with_ties(sums, "catch", n).select("fishery", "complex", F.lit("top").alias("top"))
     tagged = sums.join(top, ["fishery", "complex"], "left")
     shown = (
@@ -237,8 +243,8 @@ def top_fisheries(catch: DataFrame, n: int = 5) -> DataFrame:
 
 def _by_plot_fishery(catch: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Catch by ``keys``, shown fishery and group; the top list covers all of ``catch``."""
-    names = top_fisheries(catch, n).select("fishery", "complex", "plot_fishery")
-    sums = yearly(_with_fishery(catch), *keys, "fishery", "complex")
+    sums = settled(yearly(_with_fishery(catch), *keys, "fishery", "complex"))
+    names = _shown_names(sums, "catch", n).select("fishery", "complex", "plot_fishery")
     return (
         sums.join(names, ["fishery", "complex"])
         .groupBy(*keys, "plot_fishery", "complex")
@@ -281,7 +287,7 @@ def catch_fishery_region(catch: DataFrame, n: int = 5) -> DataFrame:
 
 def gear_target_pct(catch: DataFrame) -> DataFrame:
     """Percent of the whole catch by target fishery and gear, with totals, as text."""
-    by_target = (
+    by_target = settled(
         classify_fishery(catch)
         .groupBy("target_fishery")
         .agg(
@@ -331,7 +337,7 @@ def detailed_catch_byarea(catch: DataFrame, areas: Sequence[int], by: Sequence[s
         )
     )
     # gears by fisheries: a few dozen rows for each table
-    whole = F.sum("Total (t)").over(W.partitionBy(*by))
+    whole = strict_sum_over("Total (t)", W.partitionBy(*by))
     percent = cells.withColumn("% of total", ratio(F.col("Total (t)"), whole) * 100)
     entry = F.struct(F.col("gear_name").alias("Gear"), F.col("target_fishery").alias("Target fishery"))
     total = F.struct(F.lit("Total (t)").alias("Gear"), F.lit(None).cast("string").alias("Target fishery"))

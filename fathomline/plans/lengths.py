@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.functions import or_na, ratio, strict_sum
+from fathomline.functions import or_na, ratio, strict_sum, strict_sum_over
 from fathomline.plans.labels import DUSKY_CODE, SST_CODE
 
 GROUP = ["source", "fmp_subarea", "species_code", "year"]
@@ -21,7 +21,7 @@ def length_comps(lengths: DataFrame, species: DataFrame, more_than: float = 50)
     The window runs over sums per length, so a group has as many rows as lengths.
     """
     sums = lengths.groupBy(*GROUP, "length").agg(strict_sum("frequency").alias("n"))
-    whole = strict_sum("n").over(W.partitionBy(*GROUP))
+    whole = strict_sum_over("n", W.partitionBy(*GROUP))
     total = F.col("total")
     number = F.when(total == F.floor(total), total.cast("bigint").cast("string")).otherwise(
         total.cast("string")
@@ -37,7 +37,7 @@ def length_comps(lengths: DataFrame, species: DataFrame, more_than: float = 50)
             "n",
             ratio("n", "total").alias("prop"),
             "common_name",
-            F.concat(F.lit("N = "), or_na(number)).alias("N"),
+            F.concat(F.lit("N = "), or_na(number)).alias("n_label"),
         )
     )
 

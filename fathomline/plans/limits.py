@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.functions import ratio, strict_mean, strict_sum, strict_sum_where
+from fathomline.functions import ratio, strict_mean, strict_sum, strict_sum_over, strict_sum_where
 from fathomline.operators import exact_quantiles, grid, pivot_wider, unpivot_longer
 from fathomline.plans.labels import (
     ABC_SHARE,
@@ -27,6 +27,7 @@ from fathomline.plans.labels import (
     mortality,
     ordinal,
 )
+from fathomline.session import settled
 
 # --- combined uncertainty --------------------------------------------------
 
@@ -153,8 +154,8 @@ def specs_crossfoot(fmp: DataFrame, year: int) -> DataFrame:
     rows = fmp.filter(F.col("year") == year).select("species", "year", "FMP", F.col("fmp_est").alias("biom"))
     return rows.select(
         "*",
-        F.sum("biom").over(W.partitionBy("species")).alias("biom_spp_sum"),
-        F.sum("biom").over(W.partitionBy("FMP")).alias("biom_fmp_sum"),
+        strict_sum_over("biom", W.partitionBy("species")).alias("biom_spp_sum"),
+        strict_sum_over("biom", W.partitionBy("FMP")).alias("biom_fmp_sum"),
     ).withColumn("prop_by_fmp", ratio("biom", "biom_spp_sum"))
 
 
@@ -219,7 +220,7 @@ def apportionment(biomass: DataFrame, year: int | None = None) -> DataFrame:
             {
                 "species_fmp_ABC": F.col("biomass") * (ABC_SHARE * F.col("M")),
                 "species_fmp_OFL": F.col("biomass") * F.col("M"),
-                "total_biomass": F.sum("biomass").over(group),
+                "total_biomass": strict_sum_over("biomass", group),
             }
         )
         .withColumn("prop_biomass", ratio("biomass", "total_biomass"))
@@ -298,6 +299,7 @@ def group_percent(
         yearly = yearly.filter(F.col("year") < before)
     if first is not None:
         yearly = yearly.filter(F.col("year") >= first)
+    yearly = settled(yearly)
     stats = yearly.agg(
         F.struct(
             strict_mean("percent").alias("mean_percent"),

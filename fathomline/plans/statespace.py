@@ -10,10 +10,12 @@ tridiagonal system solved in time proportional to its years.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from fathomline.functions import na_skipping_sum
 from fathomline.operators import pivot_wider
 from fathomline.plans.labels import Z_EXACT, Z_ROUNDED
 
+# the fit goes to the workers by value: they need numpy and pandas, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LOG_SIGMA_BOUNDS = (-5.0, 2.0)
 LOG_2PI = math.log(2 * math.pi)
 STATE = (
@@ -290,7 +295,7 @@ def rw_fit(observations: DataFrame, is_se: bool = False) -> DataFrame:
     records. Several tables can be read from a fit: settle it first.
     """
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         model_name, species = key
         return pd.DataFrame([{"species": species, "model_name": model_name, **fit_stock(pdf, is_se)}])
 

@@ -1 +1,117 @@
+"""Queries for the state-space model, its inputs and its outputs."""
 
+from pyspark.sql import functions as F
+
+from fathomline.operators import complete
+from fathomline.plans import statespace as m
+from fathomline.plans.survey import biomass_strata
+from fathomline.registry import register
+from fathomline.registry.survey import LLS_SQL, STRATA_SQL, _index  # noqa: F401
+from fathomline.session import settled
+from fathomline.sources import model_reports as reports
+
+END_YEAR = 2003
+
+
+def _strata(t):
+    return settled(biomass_strata(t["survey_zeros"]).select("species", "region", "year", "biomass", "cv"))
+
+
+def _grid(t):
+    return m.model_input_grid(_strata(t), END_YEAR)
+
+
+_GRID_SQL = {
+    **STRATA_SQL,
+    "kept": "SELECT species, region FROM strata GROUP BY 1, 2 HAVING sum(biomass) > 0",
+    "inputs": f"""
+SELECT k.species, k.region, CAST(y.year AS INTEGER) AS year, coalesce(s.biomass, 0) AS biomass,
+       coalesce(s.cv, 0) AS cv
+FROM kept k CROSS JOIN (SELECT unnest(range(min(year), {END_YEAR + 1})) AS year FROM strata) y
+LEFT JOIN strata s ON s.species = k.species AND s.region = k.region AND s.year = y.year""",
+}
+
+register(
+    "model_input_grid",
+    _grid,
+    "SELECT species, region, year, round(biomass, 6) AS biomass, round(cv, 6) AS cv FROM inputs",
+    uses=("survey_zeros",),
+    extra=_GRID_SQL,
+)
+
+_REGIONS = ["AI", "EBS_SHELF", "EBS_SLOPE", "SBS"]
+register(
+    "model_input_wide",
+    lambda t: m.model_input_wide(_grid(t), _REGIONS),
+    "SELECT species, value, year,\n"
+    + ",\n".join(
+        f"       coalesce(max(CASE WHEN region = '{r}' THEN round(x, 6) END), 0) AS \"{r}\"" for r in _REGIONS
+    )
+    + """
+FROM (SELECT species, region, year, 'mu' AS value, biomass AS x FROM inputs
+      UNION ALL SELECT species, region, year, 'cv', cv FROM inputs) u
+GROUP BY species, value, year""",
+    uses=("survey_zeros",),
+    extra=_GRID_SQL,
+)
+
+
+def _fit(t):
+    """Both models fitted in one job: with and without the line index."""
+    grid = _grid(t)
+    # the index is scaled down so that q is of the size of one
+    index = _index(t).filter(F.col("strata") == "EBS Slope").withColumn("cpue", F.col("cpue") / 1000)
+    models = {"Model 20": grid, "Model 22": m.with_index(grid, index, "SST", "EBS_SLOPE")}
+    return settled(m.rw_fit(m.stack_models(models)))
+
+
+def _states(t):
+    return m.state_rows(_fit(t)).select("model_name", "species", "region", "year", "re_est", "biomsd_sd")
+
+
+register("rw_fit", lambda t: _states(t).filter(F.col("model_name") == "Model 20"), digits={"re_est": 3})
+register("rw_fit_multi", lambda t: _states(t).filter(F.col("model_name") == "Model 22"), digits={"re_est": 3})
+register(
+    "rw_area_output",
+    lambda t: m.rw_area_output(_fit(t)),
+    digits={"re_est": 3, "re_lci": 3, "re_uci": 3},
+)
+register("fit_diagnostics", lambda t: m.fit_diagnostics(_fit(t)).select("model_name", "species", "converged"))
+register("param_table", lambda t: m.param_table(_fit(t)), digits={n: 4 for n in ("estimate", "std_err", "lci", "uci")})
+register("model_aic", lambda t: m.model_aic(_fit(t)))
+
+register(
+    "param_ci",
+    lambda t: m.param_ci(
+        t["model_output"].select(
+            "species", "region", "year", (F.col("biomsd") / 10).alias("est"), F.col("biomsd_sd").alias("se")
+        )
+    ),
+    """
+SELECT species, region, year, round(exp(est), 6) AS estimate, round(exp(est) * se, 6) AS std_err,
+       round(exp(est - 1.959963984540054 * se), 6) AS lci, round(exp(est + 1.959963984540054 * se), 6) AS uci
+FROM (SELECT species, region, year, biomsd / 10 AS est, biomsd_sd AS se FROM model_output) p""",
+    uses=("model_output",),
+)
+
+
+def _reports(t):
+    full = complete(
+        t["model_output"].select(F.col("species").alias("run"), "year", "region", "re_est", "biomsd"),
+        ["run", "year", "region"],
+    )
+    return reports.report_rows(reports.report_text(full))
+
+
+register(
+    "model_report_ingest",
+    lambda t: reports.area_estimates(
+        settled(_reports(t)), {r: ["AI", "EBS_SHELF", "EBS_SLOPE", "SBS"] for r in ("SST", "non-SST")}
+    ).select("run", "year", "region", "re_est", "biomsd"),
+    """
+SELECT a.run, b.year, c.region, round(s.re_est, 6) AS re_est, round(s.biomsd, 6) AS biomsd
+FROM (SELECT DISTINCT species AS run FROM model_output) a CROSS JOIN (SELECT DISTINCT year FROM model_output) b
+CROSS JOIN (SELECT DISTINCT region FROM model_output) c
+LEFT JOIN model_output s ON s.species = a.run AND s.year = b.year AND s.region = c.region""",
+    uses=("model_output",),
+)

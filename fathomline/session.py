@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "fathomline", **conf: str)
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     defaults = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
     }
@@ -50,7 +52,16 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, where a folder exists."""
-    if checkpoint_folder(df.sparkSession) is None:
+    """``df`` written once to the checkpoint folder and read back.
+
+    For small results that several branches of a plan need: the work behind them is
+    done once, all branches see the same digits, lost executors do not bring it
+    back, and the planner knows the size and broadcasts or shuffles by it. A
+    checkpoint would run the last stage twice. Without a folder ``df`` is returned.
+    """
+    folder = checkpoint_folder(df.sparkSession)
+    if folder is None:
         return df
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/settled/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
