@@ -39,10 +39,9 @@ def strict_sum_where(condition: Column, value: Column | str, empty: float | None
     aggregation make a wide table of sums without a second pass.
     """
     value = _column(value)
-    hits = F.count(F.when(condition, 1))
-    known = F.count(F.when(condition, value))
-    total = F.when((hits > 0) & (hits == known), F.sum(F.when(condition, value)))
-    return total if empty is None else F.when(hits == 0, F.lit(empty)).otherwise(total)
+    missing = F.count(F.when(condition & value.isNull(), 1))
+    total = F.sum(F.when(condition, value))
+    return F.when(missing == 0, total if empty is None else F.coalesce(total, F.lit(empty)))
 
 
 def strict_sum_over(value: Column | str, window) -> Column:

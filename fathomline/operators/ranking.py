@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.session import settled
-
 SAME = 1e-12
 
 
@@ -31,51 +32,55 @@ def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
     return df.filter(F.col(measure) >= bar - F.abs(bar) * SAME)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    buckets: int = 256,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int = 20_000) -> DataFrame:
     """Linearly interpolated quantiles as rows (prob, quantile), exact at any size.
 
-    A mergeable sketch proposes bucket edges, each value is counted in its bucket,
-    and only the buckets that hold a wanted rank are put in order. The edges decide
-    the balance, never the result. Equal values are merged first, so a hot value is
-    one row.
+    A mergeable sketch gives a narrow bracket around each quantile, one aggregation
+    counts what lies below it, and only the values inside the brackets are put in
+    order. A bracket that turns out not to hold its rank is widened, so the sketch
+    decides the cost and never the result. Equal values become one row before they
+    are ordered. ``df`` is read several times and must give the same values each
+    time: settle it first where the value is a sum of doubles.
     """
-    # written once: a value must fall in the same bucket each time it is read
-    counts = settled(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = counts.agg(F.percentile_approx("v", steps, F.lit(buckets * 40)).alias("e")).scalar()
-    placed = counts.select("v", "n", edges.alias("edges")).select(
-        "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("b")
-    )
-    # at most `buckets` rows from here until the wanted buckets are known
-    sizes = placed.groupBy("b").agg(F.sum("n").alias("m"))
-    order = W.orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy("b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends = sizes.select(
-        "b", "m", F.sum("m").over(order).alias("end"), F.sum("m").over(whole).alias("total")
-    )
-    at = (F.col("total") - 1) * F.col("prob")
-    targets = (
-        ends.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-        .select("b", (F.col("end") - F.col("m")).alias("start"), "end", "prob", at.alias("at"))
-        .select("*", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-        .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
-    )
-    inside = W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ordered = placed.join(targets.select("b").distinct(), "b", "left_semi").select(
-        "b", "v", "n", F.sum("n").over(inside).alias("upto")
-    )
-    local = F.col("rank") - F.col("start")
-    found = ordered.join(targets, "b").filter((local >= F.col("upto") - F.col("n")) & (local < F.col("upto")))
-    weight = F.when(F.floor("at") == F.ceil("at"), F.lit(1.0)).otherwise(
-        1.0 - F.abs(F.col("at") - F.col("rank"))
-    )
-    return found.groupBy("prob").agg(F.sum(F.col("v") * weight).alias("quantile"))
+    spark = df.sparkSession
+    rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    v = F.col("v")
+    probs = sorted({float(p) for p in probs})
+    slack = 2.0 / accuracy
+    while True:
+        sides = [F.lit(min(max(p + side, 0.0), 1.0)) for p in probs for side in (-slack, slack)]
+        head = rows.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx("v", F.array(*sides), F.lit(accuracy)).alias("edges"),
+        ).first()
+        total = head["n"]
+        if total == 0:
+            return spark.createDataFrame([], "prob DOUBLE, quantile DOUBLE")
+        low, high = head["edges"][0::2], head["edges"][1::2]
+        counts = rows.agg(
+            *[F.count(F.when(v < F.lit(a), 1)) for a in low], *[F.count(F.when(v <= F.lit(b), 1)) for b in high]
+        ).first()
+        below, upto = counts[: len(probs)], counts[len(probs) :]
+        at = [(total - 1) * p for p in probs]
+        first, last = [math.floor(x) for x in at], [math.ceil(x) for x in at]
+        if all(b <= f and c < u for b, f, c, u in zip(below, first, last, upto)):
+            break
+        slack *= 8
+
+    brackets = [v.between(F.lit(a), F.lit(b)) for a, b in zip(low, high)]
+    hits = [F.when(inside, F.struct(F.lit(i).alias("i"))) for i, inside in enumerate(brackets)]
+    inside = rows.filter(reduce(or_, brackets)).select("v", F.inline(F.array_compact(F.array(*hits))))
+    merged = inside.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def of(numbers):
+        return F.array(*[F.lit(x) for x in numbers])[F.col("i")]
+
+    placed = merged.select("i", "v", "n", (F.sum("n").over(order) + of(below)).alias("upto"))
+
+    def has(ranks):
+        return (of(ranks) < F.col("upto")) & (of(ranks) >= F.col("upto") - F.col("n"))
+
+    share = [x - f for x, f in zip(at, first)]
+    part = F.when(has(first), v * (1 - of(share))).otherwise(0.0) + F.when(has(last), v * of(share)).otherwise(0.0)
+    return placed.groupBy(of(probs).alias("prob")).agg(F.sum(part).alias("quantile"))

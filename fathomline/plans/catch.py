@@ -287,12 +287,11 @@ def catch_fishery_region(catch: DataFrame, n: int = 5) -> DataFrame:
 
 def gear_target_pct(catch: DataFrame) -> DataFrame:
     """Percent of the whole catch by target fishery and gear, with totals, as text."""
+    sums = yearly(classify_fishery(catch), "target_fishery", "gear_name")
     by_target = settled(
-        classify_fishery(catch)
-        .groupBy("target_fishery")
-        .agg(
-            *[strict_sum_where(F.col("gear_name") == g, "tons", 0.0).alias(g) for g in GEARS],
-            strict_sum("tons").alias("all"),
+        sums.groupBy("target_fishery").agg(
+            *[strict_sum_where(F.col("gear_name") == g, "catch", 0.0).alias(g) for g in GEARS],
+            strict_sum("catch").alias("all"),
         )
     )
     total = by_target.agg(strict_sum("all").alias("total")).scalar()
@@ -328,13 +327,10 @@ def detailed_catch_byarea(catch: DataFrame, areas: Sequence[int], by: Sequence[s
     ``by`` makes one table per value of further columns in the same pass.
     """
     by = list(by)
-    cells = (
-        classify_fishery(catch)
-        .groupBy(*by, "gear_name", "target_fishery")
-        .agg(
-            *[strict_sum_where(F.col("nmfs_area") == a, "tons", 0.0).alias(str(a)) for a in areas],
-            strict_sum("tons").alias("Total (t)"),
-        )
+    sums = yearly(classify_fishery(catch), *by, "gear_name", "target_fishery", "nmfs_area")
+    cells = sums.groupBy(*by, "gear_name", "target_fishery").agg(
+        *[strict_sum_where(F.col("nmfs_area") == a, "catch", 0.0).alias(str(a)) for a in areas],
+        strict_sum("catch").alias("Total (t)"),
     )
     # gears by fisheries: a few dozen rows for each table
     whole = strict_sum_over("Total (t)", W.partitionBy(*by))

@@ -386,8 +386,12 @@ def model_compare_pct(biomass: DataFrame, base: str, other: str, signed: bool =
 SUMMARY = ["min", "q1", "median", "mean", "q3", "max"]
 
 
-def five_numbers(df: DataFrame, column: str) -> DataFrame:
-    """Least, quartiles, mean and largest value as rows (statistic, value)."""
+def five_numbers(df: DataFrame, column: str, stored: bool = False) -> DataFrame:
+    """Least, quartiles, mean and largest value as rows (statistic, value).
+
+    ``stored`` says that the column is read as it is and need not be settled.
+    """
+    df = df.select(column) if stored else settled(df.select(column))
     quartiles = exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0])
     name = (
         F.when(F.col("prob") == 0.0, "min")

@@ -482,7 +482,7 @@ FROM pct""",
 # the same summary over as many values as there are records
 register(
     "five_number_summary",
-    lambda t: l.five_numbers(t["noncomm"], "weight"),
+    lambda t: l.five_numbers(t["noncomm"], "weight", stored=True),
     """
 SELECT unnest(['min', 'q1', 'median', 'mean', 'q3', 'max']) AS statistic,
        unnest([round(min(weight), 4), round(quantile_cont(weight, 0.25), 4), round(quantile_cont(weight, 0.5), 4),
