@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.functions import ratio, strict_mean, strict_sum, strict_sum_over, strict_sum_where
+from fathomline.functions.distributions import t_two_sided
 from fathomline.operators import exact_quantiles, grid, pivot_wider, unpivot_longer
 from fathomline.plans.labels import (
     ABC_SHARE,
@@ -445,4 +446,5 @@ def index_correlation(years: DataFrame, biomass: DataFrame, index: DataFrame, z:
             F.when(n > 3, F.tanh(F.atanh(r) - half)).alias("lci"),
             F.when(n > 3, F.tanh(F.atanh(r) + half)).alias("uci"),
         )
+        .withColumn("p_value", F.when(F.col("df") > 0, t_two_sided(F.col("t"), F.col("df"))))
     )

@@ -530,11 +530,14 @@ register(
     _correlation,
     """
 SELECT round(r, 6) AS r, n, n - 2 AS df, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t,
+       -- the series of the t distribution for 5 degrees of freedom, which seven years give
+       round(1 - 2 / pi() * (angle + sin(angle) * (cos(angle) + 2.0 / 3 * cos(angle) ** 3)), 6) AS p_value,
        round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS lci,
        round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS uci
-FROM (SELECT corr(a.biomass, i.cpue) AS r, count(*) AS n
+FROM (SELECT *, atan(abs(r * sqrt((n - 2) / (1 - r * r))) / sqrt(n - 2)) AS angle FROM (
+      SELECT corr(a.biomass, i.cpue) AS r, count(*) AS n
       FROM (SELECT year, biomass FROM areas WHERE species = 'SST' AND region = 'EBS Slope') a
-      JOIN (SELECT year, cpue FROM line_index WHERE strata = 'EBS Slope') i ON a.year = i.year) c""",
+      JOIN (SELECT year, cpue FROM line_index WHERE strata = 'EBS Slope') i ON a.year = i.year) c) d""",
     uses=("survey_zeros", "lls"),
     extra={**STRATA_SQL, **LLS_SQL},
     digits={"t": 5},

@@ -12,6 +12,7 @@ from fathomline.functions import (
     strict_sum,
     strict_sum_where,
 )
+from fathomline.functions.distributions import t_two_sided
 from fathomline.plans.survey import blank_cell, na_cell, significant
 
 
@@ -77,3 +78,12 @@ def test_cells(spark):
     got = df.select(blank_cell().alias("b"), na_cell().alias("n")).collect()
     assert [r["b"] for r in got] == ["11,340 (0.23)", "0", "", "18 (1.00)", "5"]
     assert [r["n"] for r in got] == ["11,340 (0.23)", "0 (NA)", None, "18 (1)", "5 (0)"]
+
+
+def test_t_probabilities(spark):
+    # (t, degrees of freedom, two-sided probability)
+    known = [(1.0, 1, 0.5), (2.0, 2, 0.183503), (2.0, 3, 0.139326), (-2.0, 5, 0.101939), (2.228139, 10, 0.05),
+             (2.093024, 19, 0.05), (0.0, 7, 1.0)]
+    df = spark.createDataFrame([(t, n) for t, n, _ in known], "t DOUBLE, n BIGINT")
+    got = [r[0] for r in df.select(t_two_sided(F.col("t"), F.col("n"))).collect()]
+    assert [round(p, 6) for p in got] == [p for _, _, p in known]
