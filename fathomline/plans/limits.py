@@ -272,12 +272,12 @@ def catch_vs_limits_species(by_group: DataFrame, catch: DataFrame) -> DataFrame:
 
 
 def catch_vs_limits_total(by_group: DataFrame, catch: DataFrame) -> DataFrame:
+    """Limits of the complex beside its yearly catch; one row of limits serves all years."""
     rows = by_group.select("species_group", F.col("maxABC").alias("ABC"), "OFL").distinct()
-    limits = rows.agg(strict_sum("ABC").alias("ABC"), strict_sum("OFL").alias("OFL")).withColumn(
-        "species", F.lit(COMPLEX)
-    )
-    yearly = _catch(catch, F.lit(COMPLEX).alias("species"))
-    return _long(limits.join(yearly, "species", "left"), ["species", "year"], ["ABC", "OFL", "Catch"])
+    limits = rows.agg(F.struct(strict_sum("ABC").alias("ABC"), strict_sum("OFL").alias("OFL"))).scalar()
+    yearly = catch.groupBy("year").agg(strict_sum("tons").alias("Catch")).withColumn("limits", limits)
+    wide = yearly.select(F.lit(COMPLEX).alias("species"), "year", "limits.ABC", "limits.OFL", "Catch")
+    return _long(wide, ["species", "year"], ["ABC", "OFL", "Catch"])
 
 
 def group_percent(

@@ -160,8 +160,11 @@ def survey_ci(strata: DataFrame, z: float = Z_ROUNDED) -> DataFrame:
 def survey_grid_nulls(
     strata: DataFrame, impossible: Sequence[tuple[str, str]] = ((SST, "EBS_SHELF"),)
 ) -> DataFrame:
-    """All species, region and year combinations, empty where not surveyed."""
-    full = complete(strata, ["species", "region", "year"])
+    """All species, region and year combinations, empty where not surveyed.
+
+    The four survey regions are always there, observed or not.
+    """
+    full = complete(strata, ["species", "region", "year"], also={"region": REGION_ORDER})
     for species, region in impossible:
         full = full.filter(~((F.col("species") == species) & (F.col("region") == region)))
     return full

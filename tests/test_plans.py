@@ -82,6 +82,21 @@ def test_line_index_skips_missing_values(spark, rows):
     assert rows(x.lls_index(lls)) == [("EBS Slope", 2000, 2.0, 1.0), ("Eastern AI", 2000, 3.0, 1.0)]
 
 
+def test_a_haul_with_a_third_of_all_rows(spark, rows):
+    hauls = spark.range(40).selectExpr(
+        "CAST(id AS INT) AS haul_join", "CAST(500 + id AS INT) AS nmfs_area", "2003 AS year", "'X' AS gear_type"
+    )
+    parts = spark.range(6000).selectExpr(
+        "CAST(IF(id % 3 = 0, 7, id % 40) AS INT) AS haul_join", "CAST(349 + id % 2 AS INT) AS species",
+        "CAST(id % 5 AS DOUBLE) AS extrapolated_weight",
+    )
+    one = x.class_proportion(x.observer_join(parts, hauls, [349, 350], (500, 543)))
+    two = x.class_proportion_of_hauls(parts, hauls, [349, 350], (500, 543))
+    assert rows(one) == rows(two) and len(rows(one)) == 1
+    joined = x.class_proportion_of_hauls(parts, hauls, [349, 350], (500, 543))
+    assert joined._jdf.queryExecution().executedPlan().toString().count("partial_sum") >= 2
+
+
 # --- survey ------------------------------------------------------------------
 def test_zero_biomass_and_cv(spark, rows):
     data = [

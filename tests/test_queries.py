@@ -31,6 +31,8 @@ def test_query(name, spark, duck):
     df = query.run(spark, FOLDER)
     got = df.collect()
     assert got
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if query.sql is None:
         return
     relation = duck.sql(query.oracle())
