@@ -22,8 +22,8 @@ from fathomline.functions import (
     strict_sum_over,
     strict_sum_where,
 )
-from fathomline.operators import clean_names, complete, pivot_wider, top_with_ties
-from fathomline.plans.extraction import allocate_by_proportion
+from fathomline.operators import clean_names, complete, lower_names, pivot_wider, top_with_ties
+from fathomline.plans.extraction import CATCH_COLUMNS, allocate_by_proportion, catch_clean
 from fathomline.plans.labels import (
     COMMON_SPECIES,
     COMPLEX,
@@ -50,15 +50,20 @@ def with_complex(catch: DataFrame) -> DataFrame:
     return catch.withColumn("complex", complex_of_name())
 
 
-def catch_cells(clean: DataFrame, proportion: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Catch summed over ``keys`` and split into SST and other thornyheads.
+def catch_cells(raw: DataFrame, proportion: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Landing records summed over ``keys``, tidied, and split into SST and other thornyheads.
 
-    The records are summed first and the sums are split, so the records are neither
-    joined nor doubled. The tables here are sums too and take the result as catch.
+    The source columns are summed as they are; the sums are then tidied and split. So
+    no text is worked on record by record, and the records are neither joined nor
+    doubled. A key may have several rows here: the tables sum again.
     """
     needed = list(dict.fromkeys(["year", "fmp_subarea", *keys, "species_name"]))
-    sums = clean.groupBy(*needed).agg(strict_sum("tons").alias("tons"))
-    return allocate_by_proportion(sums, proportion, aggregated=True)
+    sums = (
+        lower_names(raw)
+        .groupBy(*[CATCH_COLUMNS[key] for key in needed])
+        .agg(strict_sum(CATCH_COLUMNS["tons"]).alias(CATCH_COLUMNS["tons"]))
+    )
+    return allocate_by_proportion(catch_clean(sums, columns=[*needed, "tons"]), proportion, aggregated=True)
 
 
 # --- totals ----------------------------------------------------------------

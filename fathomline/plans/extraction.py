@@ -92,26 +92,36 @@ def catch_extract(raw: DataFrame, codes: Sequence[int], fmp: str, first_year: in
     )
 
 
-def catch_clean(raw: DataFrame, name_parts: Sequence[str] = NAME_PARTS) -> DataFrame:
-    """Landing records with tidy names, short species names and EBS for BS."""
+# fixed values: tidy column and the source column it comes from
+CATCH_COLUMNS = {
+    "year": "year",
+    "date": "catch_activity_date",
+    "fmp": "fmp_area",
+    "fmp_subarea": "fmp_subarea",
+    "nmfs_area": "reporting_area_code",
+    "gear": "agency_gear_code",
+    "retained_or_discarded": "retained_or_discarded",
+    "target": "trip_target_name",
+    "species_code": "agency_species_code",
+    "species_group": "species_group_name",
+    "species_name": "species_name",
+    "tons": "weight_posted",
+}
+
+
+def catch_clean(
+    raw: DataFrame, name_parts: Sequence[str] = NAME_PARTS, columns: Sequence[str] = tuple(CATCH_COLUMNS)
+) -> DataFrame:
+    """Landing records (or their sums) with tidy columns, short species names and EBS for BS."""
     species = F.col("species_name")
     for part in name_parts:
         species = replace_first_literal(species, part)
     subarea = F.col("fmp_subarea")
-    return lower_names(raw).select(
-        "year",
-        F.col("catch_activity_date").alias("date"),
-        F.col("fmp_area").alias("fmp"),
-        F.when(subarea == "BS", F.lit("EBS")).otherwise(subarea).alias("fmp_subarea"),
-        F.col("reporting_area_code").alias("nmfs_area"),
-        F.col("agency_gear_code").alias("gear"),
-        "retained_or_discarded",
-        F.col("trip_target_name").alias("target"),
-        F.col("agency_species_code").alias("species_code"),
-        F.col("species_group_name").alias("species_group"),
-        species.alias("species_name"),
-        F.col("weight_posted").alias("tons"),
-    )
+    tidied = {
+        "species_name": species,
+        "fmp_subarea": F.when(subarea == "BS", F.lit("EBS")).otherwise(subarea),
+    }
+    return lower_names(raw).select(*[tidied.get(c, F.col(CATCH_COLUMNS[c])).alias(c) for c in columns])
 
 
 def target_catch_filter(raw: DataFrame, target: str, name_parts: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ def proportion(t: Bound):
 
 
 def cells(t: Bound, *keys: str):
-    return tables.catch_cells(clean(t), proportion(t), keys)
+    return tables.catch_cells(t["catch_raw"], proportion(t), keys)
 
 
 def atka(t: Bound):

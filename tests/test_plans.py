@@ -292,3 +292,17 @@ def test_correlation_of_complete_pairs(spark):
 def test_rounding_is_to_even(spark, rows):
     df = spark.createDataFrame([(2000, 2.5), (2001, 3.5)], "year INT, tons DOUBLE")
     assert rows(l.sara_annual_catch(df)) == [(2000, 2.0), (2001, 4.0)]
+
+
+def test_cells_equal_the_split_of_all_records(spark, prop, rows):
+    raw = spark.createDataFrame(
+        [
+            (2003, "BSAI", "AI", "rockfish, thornyhead (idiots)", 4.0), (2003, "BSAI", "AI", "thornyhead", 6.0),
+            (2003, "BSAI", "BS", "rockfish, dusky", 1.0), (2003, "BSAI", "BS", "rockfish, dusky", None),
+        ],
+        "YEAR INT, FMP_AREA STRING, FMP_SUBAREA STRING, SPECIES_NAME STRING, WEIGHT_POSTED DOUBLE",
+    )
+    cells = c.catch_cells(raw, prop, ["fmp"])
+    assert rows(c.catch_complex_subarea(cells)) == [
+        (2003, "AI", "SST", 7.5), (2003, "AI", "non-SST", 2.5), (2003, "EBS", "non-SST", None),
+    ]
