@@ -231,11 +231,10 @@ def top_fisheries(catch: DataFrame, n: int = 5) -> DataFrame:
 
     The n largest over both groups together keep their name, ties included.
     """
-    return _shown_names(_with_fishery(catch), "tons", n)
+    return _shown_names(settled(yearly(_with_fishery(catch), "fishery", "complex")), n)
 
 
-def _shown_names(rows: DataFrame, measure: str, n: int) -> DataFrame:
-    sums = settled(rows.groupBy("fishery", "complex").agg(strict_sum(measure).alias("catch")))
+def _shown_names(sums: DataFrame, n: int) -> DataFrame:
     top = top_with_ties(sums, "catch", n).select("fishery", "complex", F.lit("top").alias("top"))
     tagged = sums.join(top, ["fishery", "complex"], "left")
     shown = (
@@ -249,7 +248,8 @@ def _shown_names(rows: DataFrame, measure: str, n: int) -> DataFrame:
 def _by_plot_fishery(catch: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Catch by ``keys``, shown fishery and group; the top list covers all of ``catch``."""
     sums = settled(yearly(_with_fishery(catch), *keys, "fishery", "complex"))
-    names = _shown_names(sums, "catch", n).select("fishery", "complex", "plot_fishery")
+    by_fishery = sums.groupBy("fishery", "complex").agg(strict_sum("catch").alias("catch"))
+    names = _shown_names(by_fishery, n).select("fishery", "complex", "plot_fishery")
     return (
         sums.join(names, ["fishery", "complex"])
         .groupBy(*keys, "plot_fishery", "complex")
