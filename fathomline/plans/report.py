@@ -135,3 +135,40 @@ def _series(df: DataFrame, names: Mapping[str, Column], number: int) -> DataFram
     both = F.array(F.concat(F.lit("#"), F.col("name")), F.col("values"))
     rows = joined.select("place", F.posexplode(both).alias("p", "line"))
     return _lines(rows, number, F.col("place") * 2 + F.col("p"), F.col("line"))
+
+
+def archive_export_short(
+    fields: Mapping[str, object], catch: DataFrame, biomass: DataFrame, survey: DataFrame
+) -> DataFrame:
+    """The older archive layout as (section, row_no, line): 'value   #FIELD' lines, then series.
+
+    A series is a title, its years and its values; years without a value are left out.
+    ``catch`` has year and catch, ``biomass`` year and total, ``survey`` year and a
+    column per survey.
+    """
+    spark = catch.sparkSession
+    names = [c for c in survey.columns if c != "year"]
+    heads = [f"{value}   #{name}" for name, value in fields.items()]
+    surveys = ["#SURVEYNAMES   " + "   ".join(names), " ".join("1" for _ in names)]
+    sections = [
+        text_section(spark, 1, heads),
+        _own_years(catch, "catch", ["#TOTALCATCH", "1"], 2),
+        _own_years(biomass, "total", ["#ABUNDANCE", "1"], 3),
+        text_section(spark, 4, surveys),
+    ]
+    for place, name in enumerate(names, 1):
+        sections.append(_own_years(survey, name, [f"#SURVEY{place}"], 4 + place))
+    return stack_sections(sections)
+
+
+def _own_years(df: DataFrame, column: str, titles: Sequence[str], number: int) -> DataFrame:
+    """Titles, then the years of a series and its values in whole numbers."""
+    value = F.col(f"`{column}`")
+    pair = F.struct(F.col("year").cast("string").alias("year"), fixed(value, 0).alias("text"))
+    series = df.filter(value.isNotNull()).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+
+    def joined(part):
+        return F.array_join(F.transform("pairs", lambda p: p[part]), " ")
+
+    lines = F.array(*[F.lit(t) for t in titles], joined("year"), joined("text"))
+    return _lines(series.select(F.posexplode(lines).alias("p", "l")), number, F.col("p"), F.col("l"))

@@ -441,6 +441,16 @@ register(
     ),
 )
 
+register(
+    "sara_export_short",
+    lambda t: report.archive_export_short(
+        {"STOCK": "COMPLEX", "TIER": 5, "ASSESSYEAR": YEAR},
+        l.sara_annual_catch(cells(t)),
+        _sara(t),
+        settled(l.sara_survey(areas(t), _REGIONS)),
+    ),
+)
+
 # --- model comparison --------------------------------------------------------
 _PCT = {
     "pct": """

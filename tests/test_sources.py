@@ -150,3 +150,15 @@ def test_archive_export(spark):
         "#STOCK", '"X"', "#YEAR", "2022", "#AGE", '"NA"', "#FISHERYYEAR", "2000 2001", "#TOTALBIOMASS", "10 12",
         "#TOTALCATCH", "NA 3", "#SURVEYYEAR", "2000", "#SURVEY_AI", "7",
     ]
+
+
+def test_older_archive_export(spark):
+    catch = spark.createDataFrame([(2001, 3.2), (2000, 2.5)], "year INT, catch DOUBLE")
+    biomass = spark.createDataFrame([(2000, 10.4)], "year INT, total DOUBLE")
+    survey = spark.createDataFrame([(2000, 7.0, None), (2002, 8.0, 1.0)], "year INT, AI DOUBLE, SBS DOUBLE")
+    lines = report.archive_export_short({"STOCK": "X", "TIER": 5}, catch, biomass, survey)
+    got = [r["line"] for r in lines.orderBy("section", "row_no").collect()]
+    assert got == [
+        "X   #STOCK", "5   #TIER", "#TOTALCATCH", "1", "2000 2001", "2 3", "#ABUNDANCE", "1", "2000", "10",
+        "#SURVEYNAMES   AI   SBS", "1 1", "#SURVEY1", "2000 2002", "7 8", "#SURVEY2", "2002", "1",
+    ]
