@@ -5,30 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from fathomline.session import checkpoint_folder, settled
+from fathomline.session import settled
 
-BROADCAST_ROWS = 200_000
 
-
-def lookup_join(
-    fact: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a fact to a lookup computed from other facts.
 
-    The optimizer cannot know how small an aggregate turns out and would shuffle
-    the fact to meet it. So the lookup is written once, counted, and broadcast only
-    when it holds at most ``max_rows`` rows; a larger one is joined by shuffle,
-    where AQE splits hot keys. Without a checkpoint folder the planner decides.
+    The planner cannot know how small an aggregate turns out and would shuffle the
+    fact to meet it. So the lookup is written once; its files have a size in bytes, and
+    the planner's own threshold decides between broadcast and shuffle.
     """
-    on = list(on)
-    if checkpoint_folder(fact.sparkSession) is None:
-        return fact.join(lookup, on, how)
-    kept = settled(lookup)
-    small = kept.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(kept) if small else kept.hint("merge"), on, how)
+    return fact.join(settled(lookup), list(on), how)

@@ -1,9 +1,11 @@
-"""Session set-up and checkpointing shared by jobs, tests and the bench."""
+"""Session set-up, the shared work folder and shipping the package to executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "fathomline", **conf: str) -> SparkSession:
@@ -34,34 +38,54 @@ def local_session(cores: int | str = "*", app: str = "fathomline", **conf: str)
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """Folder for checkpoints: the cluster's own, or a new one on a single machine.
+def work_folder(spark: SparkSession) -> str:
+    """Folder of this application for intermediate tables, the same on every master.
 
-    On a cluster without ``spark.checkpoint.dir`` the answer is None: a folder of
-    one machine would be lost with it.
+    It lies in ``spark.checkpoint.dir``; where that is not set, in the warehouse folder,
+    which driver and executors share too. Without either the call fails.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="fathomline-checkpoint-")
-        if folder is None:
-            return None
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/fathomline-{spark.sparkContext.applicationId}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder and read back.
+    """``df`` written once to the work folder and read back.
 
-    For small results that several branches of a plan need: the work behind them is
-    done once, all branches see the same digits, lost executors do not bring it
-    back, and the planner knows the size and broadcasts or shuffles by it. A
-    checkpoint would run the last stage twice. Without a folder ``df`` is returned.
+    For results that several branches of a plan need: the work behind them is done
+    once, all branches see the same digits, lost executors do not bring it back, and the
+    planner knows the size and broadcasts or shuffles by it. A checkpoint would run
+    the last stage twice.
     """
-    folder = checkpoint_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/settled/{uuid.uuid4()}"
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a store that Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results read from them must be written before."""
+    remove_folder(spark, work_folder(spark))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; needed before Python runs in tasks."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="fathomline-package-"), "fathomline-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
