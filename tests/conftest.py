@@ -9,8 +9,9 @@ from fathomline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("*", app="tests")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("*", app="tests", **{"spark.checkpoint.dir": folder})
     yield session
     session.stop()
 
