@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import simhash
+from fathomline.llm import bpe, secrets, simhash
 from fathomline.llm.common import table
 
 
@@ -14,8 +16,29 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every text; each distinct text is scanned once and its findings go to all its documents."""
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
+def vocabulary() -> str:
+    """Path of the public word vocabulary; WORD_BPE_FILE overrides the installed file."""
+    if "WORD_BPE_FILE" in os.environ:
+        return os.environ["WORD_BPE_FILE"]
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of encoding every text and decoding it again."""
+    return bpe.round_trip(table(spark, folder, "documents"), vocabulary())
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
+    "op5_bpe": op5_bpe,
 }
 
 #: SQL for the queries that SQL can express on whole tables; the others are tested by brute force.
