@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,11 @@ class Scratch:
         table._scratch = path
         return table
 
+    def release(self) -> None:
+        """Let go of shuffle files of finished work: they stay until the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, table: DataFrame) -> None:
         """Free the disk of a kept table that no later plan reads."""
         remove_folder(self.spark, table._scratch)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, secrets, simhash
+from fathomline.llm import bpe, secrets, simhash, suffix
 from fathomline.llm.common import table
 
 
@@ -21,6 +22,18 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
 
+def op4_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text when bytes under a 100-byte string that starts earlier are cut."""
+    cut = suffix.remove_repeats(table(spark, folder, "documents"), 100)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def vocabulary() -> str:
     """Path of the public word vocabulary; WORD_BPE_FILE overrides the installed file."""
     if "WORD_BPE_FILE" in os.environ:
@@ -38,6 +51,7 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
+    "op4_suffix": op4_suffix,
     "op5_bpe": op5_bpe,
 }
 
