@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, secrets, simhash, suffix
+from fathomline.llm import bpe, lines, secrets, simhash, suffix
 from fathomline.llm.common import table
 
 
@@ -48,12 +48,18 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary())
 
 
+def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text without the lines that stand, but for one edit, at an earlier place."""
+    return lines.remove_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op4_suffix": op4_suffix,
     "op5_bpe": op5_bpe,
+    "op8_lines": op8_lines,
 }
 
 #: SQL for the queries that SQL can express on whole tables; the others are tested by brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_lines": lines.SQL}
