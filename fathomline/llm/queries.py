@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, lines, secrets, simhash, suffix
+from fathomline.llm import bpe, decontaminate, lines, secrets, simhash, suffix
 from fathomline.llm.common import table
 
 
@@ -53,13 +53,19 @@ def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.remove_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with how many of its shingles they have."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op4_suffix": op4_suffix,
     "op5_bpe": op5_bpe,
     "op8_lines": op8_lines,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: SQL for the queries that SQL can express on whole tables; the others are tested by brute force.
-SQL: dict[str, str] = {"op8_lines": lines.SQL}
+SQL: dict[str, str] = {"op8_lines": lines.SQL, "op10_decontaminate": decontaminate.SQL}
