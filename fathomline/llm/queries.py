@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, decontaminate, lines, secrets, simhash, suffix
-from fathomline.llm.common import table
+from fathomline.llm import bpe, decontaminate, lines, secrets, simhash, suffix, toxicity
+from fathomline.llm.common import Scratch, table
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every restored text by a model that never reads the labels of the held-out fold."""
+    docs = table(spark, folder, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, folder, "labels"), Scratch(spark)))
+
+
 def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every text without the lines that stand, but for one edit, at an earlier place."""
     return lines.remove_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
@@ -63,6 +69,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_suffix": op4_suffix,
     "op5_bpe": op5_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_lines": op8_lines,
     "op10_decontaminate": op10_decontaminate,
 }
