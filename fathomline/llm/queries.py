@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, decontaminate, lines, secrets, simhash, suffix, toxicity
+from fathomline.llm import bpe, decontaminate, lines, quality, secrets, simhash, suffix, toxicity
 from fathomline.llm.common import Scratch, table
 
 
@@ -64,6 +64,12 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text by a machine that never reads the labels of the held-out fold."""
+    docs = table(spark, folder, "documents")
+    return quality.scores(docs, quality.fit(docs, table(spark, folder, "labels"), Scratch(spark)))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_lines": op8_lines,
+    "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
