@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, decontaminate, lines, quality, secrets, simhash, suffix, toxicity
+from fathomline.llm import bpe, caps, decontaminate, lines, quality, secrets, simhash, suffix, toxicity
 from fathomline.llm.common import Scratch, table
 
 
@@ -22,6 +22,11 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
 
 
+def op3_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.9 or more, and the least of each group."""
+    return caps.near_duplicates(table(spark, folder, "embeddings"), 0.9)
+
+
 def op4_suffix(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every text when bytes under a 100-byte string that starts earlier are cut."""
     cut = suffix.remove_repeats(table(spark, folder, "documents"), 100)
@@ -73,6 +78,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
+    "op3_caps": op3_caps,
     "op4_suffix": op4_suffix,
     "op5_bpe": op5_bpe,
     "op7_toxicity": op7_toxicity,
