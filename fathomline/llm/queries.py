@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, caps, decontaminate, lines, quality, secrets, simhash, suffix, toxicity
+from fathomline.llm import bpe, caps, decontaminate, lines, quality, secrets, shards, simhash, suffix, toxicity
 from fathomline.llm.common import Scratch, table
 
 
@@ -53,6 +53,13 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary())
 
 
+def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in shards 0 to 23 of nearly equal bytes."""
+    placed = shards.kd_shards(table(spark, folder, "documents"), 24)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", none)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every restored text by a model that never reads the labels of the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -81,6 +88,7 @@ QUERIES = {
     "op3_caps": op3_caps,
     "op4_suffix": op4_suffix,
     "op5_bpe": op5_bpe,
+    "op6_shards": op6_shards,
     "op7_toxicity": op7_toxicity,
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
