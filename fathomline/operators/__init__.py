@@ -2,7 +2,7 @@
 
 from fathomline.operators.lookup import lookup_join
 from fathomline.operators.naming import clean_names, lower_names
-from fathomline.operators.ranking import exact_quantiles, top_with_ties
+from fathomline.operators.ranking import exact_quantiles, running_sum, top_with_ties
 from fathomline.operators.reshape import (
     complete,
     grid,
@@ -19,6 +19,7 @@ __all__ = [
     "lookup_join",
     "lower_names",
     "pivot_wider",
+    "running_sum",
     "top_with_ties",
     "unpivot_longer",
     "year_span",

@@ -11,16 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAME = 1e-12
-
+from fathomline.session import settled
 
 def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
-    """Rows whose measure is at least the n-th largest one.
+    """Rows whose measure is at least the n-th largest one; ties are exact.
 
     The n-th largest value comes from per-partition top-n lists, so no task sorts
-    the whole table as a rank over an unpartitioned window would. The measure may be
-    a sum of doubles that is evaluated once for the list and once for the rows and
-    differs in its last digits; values closer than ``SAME`` count as equal.
+    the whole table as a rank over an unpartitioned window would. ``df`` is read twice
+    and must give the same digits each time: settle it first where the measure is a sum.
     """
     bar = (
         df.select(measure)
@@ -29,7 +27,23 @@ def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
         .agg(F.min(measure).alias("bar"))
         .scalar()
     )
-    return df.filter(F.col(measure) >= bar - F.abs(bar) * SAME)
+    return df.filter(F.col(measure) >= bar)
+
+
+def running_sum(df: DataFrame, group: str, order: str, weight: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` up to and with each row, within ``group`` by ``order``.
+
+    The rows are dealt by ranges and sorted; one row per range and group gives the ranges their
+    starts. No task holds more than a range, however long a group is.
+    """
+    ranged = df.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    kept = settled(ranged.withColumn("_range", F.spark_partition_id()))
+    sums = kept.groupBy(group, "_range").agg(F.sum(weight).alias("_held"))
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(group, "_range", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_start"))
+    within = W.partitionBy("_range", group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = kept.withColumn(name, F.sum(weight).over(within)).join(starts, [group, "_range"])
+    return summed.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int = 20_000) -> DataFrame:
@@ -37,13 +51,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy:
 
     A mergeable sketch gives a narrow bracket around each quantile, one aggregation
     counts what lies below it, and only the values inside the brackets are put in
-    order. A bracket that turns out not to hold its rank is widened, so the sketch
-    decides the cost and never the result. Equal values become one row before they
-    are ordered. ``df`` is read several times and must give the same values each
-    time: settle it first where the value is a sum of doubles.
+    order, by ranges. A bracket that turns out not to hold its rank is widened, so the
+    sketch decides the cost and never the result. Equal values become one row before
+    they are ordered. The values are settled first, as every pass must see the same ones.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    rows = settled(df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()))
     v = F.col("v")
     probs = sorted({float(p) for p in probs})
     slack = 2.0 / accuracy
@@ -71,12 +84,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy:
     hits = [F.when(inside, F.struct(F.lit(i).alias("i"))) for i, inside in enumerate(brackets)]
     inside = rows.filter(reduce(or_, brackets)).select("v", F.inline(F.array_compact(F.array(*hits))))
     merged = inside.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
 
     def of(numbers):
         return F.array(*[F.lit(x) for x in numbers])[F.col("i")]
 
-    placed = merged.select("i", "v", "n", (F.sum("n").over(order) + of(below)).alias("upto"))
+    placed = running_sum(merged, "i", "v", "n", "upto").withColumn("upto", F.col("upto") + of(below))
 
     def has(ranks):
         return (of(ranks) < F.col("upto")) & (of(ranks) >= F.col("upto") - F.col("n"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fathomline.session import settled
 
@@ -19,7 +20,7 @@ def pivot_wider(
     domain: Sequence | Mapping,
     fill=None,
 ) -> DataFrame:
-    """One column per value of ``names``; ``df`` holds one row per id and name.
+    """One column per value of ``names``; ``df`` holds one row per id and name, else the query fails.
 
     ``domain`` lists the values (or maps value to column name), so that the schema
     does not hang on the data and all columns come from a single aggregation.
@@ -30,6 +31,8 @@ def pivot_wider(
     for value, label in labels.items():
         hit = F.col(names) == F.lit(value)
         cell = F.max(F.when(hit, F.col(values)))
+        again = F.raise_error(F.lit(f"more than one row for an id and {names} {value!r}"))
+        cell = F.when(F.count(F.when(hit, 1)) > 1, again.cast(dict(df.dtypes)[values])).otherwise(cell)
         if fill is not None:
             cell = F.when(F.count(F.when(hit, 1)) == 0, F.lit(fill)).otherwise(cell)
         cells.append(cell.alias(label))
@@ -73,11 +76,11 @@ def complete(
     are taken as observed. ``fill`` replaces missing measures, present ones too.
     ``also`` gives known values of a key that may not be observed.
 
-    The first key stays distributed and every row of it is expanded by the value
-    sets of the others, so put the key with most values first. The value sets come
-    from one scalar subquery and the product needs no join. ``cells`` are aggregates:
-    they are settled, so that the facts behind them are read once and not for each
-    of the three branches.
+    The first key stays distributed and meets the distinct values of each other key, which
+    are dealt to salts: a salt has all values of the other key and its share of the rows
+    so far, so nothing is gathered in one task or on the driver. Put the key with most values
+    first. ``cells`` are aggregates: they are settled, so that the facts behind them are read
+    once and not for each branch.
     """
     cells = settled(cells)
     groups = [[key] if isinstance(key, str) else list(key) for key in keys]
@@ -85,19 +88,16 @@ def complete(
     measures = [name for name in cells.columns if name not in names]
     first, *others = groups
     product = cells.select(*first).distinct()
-    if others:
-        sets = cells.agg(
-            F.struct(*[F.collect_set(F.struct(*group)).alias("_".join(group)) for group in others]).alias("sets")
-        ).scalar()
-        product = product.select("*", sets.alias("_sets"))
-        for group in others:
-            values = F.col("_sets")["_".join(group)]
-            known = (also or {}).get(group[0]) if len(group) == 1 else None
-            if known:
-                extra = F.array(*[F.struct(F.lit(v).alias(group[0])) for v in known])
-                values = F.array_union(values, extra)
-            product = product.select("*", F.inline(values).alias(*group))
-        product = product.drop("_sets")
+    salts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for group in others:
+        values = cells.select(*group)
+        known = (also or {}).get(group[0]) if len(group) == 1 else None
+        if known:
+            kind = cells.schema[group[0]].dataType
+            values = values.unionAll(cells.sparkSession.createDataFrame([(v,) for v in known], StructType([StructField(group[0], kind)])))
+        dealt = values.distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = product.withColumn("_salt", F.pmod(F.hash(*product.columns), F.lit(salts)))
+        product = salted.join(dealt, "_salt").drop("_salt")
 
     left, right = product.alias("p"), cells.alias("c")
     same: Column = reduce(

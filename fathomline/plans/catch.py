@@ -248,7 +248,7 @@ def _shown_names(sums: DataFrame, n: int) -> DataFrame:
 def _by_plot_fishery(catch: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Catch by ``keys``, shown fishery and group; the top list covers all of ``catch``."""
     sums = settled(yearly(_with_fishery(catch), *keys, "fishery", "complex"))
-    by_fishery = sums.groupBy("fishery", "complex").agg(strict_sum("catch").alias("catch"))
+    by_fishery = settled(sums.groupBy("fishery", "complex").agg(strict_sum("catch").alias("catch")))
     names = _shown_names(by_fishery, n).select("fishery", "complex", "plot_fishery")
     return (
         sums.join(names, ["fishery", "complex"])

@@ -143,16 +143,27 @@ def observer_join(
     area_range: tuple[int, int] | None = None,
     areas: Sequence[int] | None = None,
     first_year: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Species composition with the haul it came from. Hauls are unique by key."""
-    hauls = lower_names(hauls)
+    """Species composition with the haul it came from. Hauls are unique by key.
+
+    ``first_year`` bounds the year of the composition where that table has one, else of the
+    haul. A column that both tables have is taken from the composition. ``columns`` picks
+    what is read on.
+    """
+    hauls, composition = lower_names(hauls), lower_names(composition)
+    composition = composition.filter(F.col("species").isin(list(species)))
     if area_range is not None:
         hauls = hauls.filter(F.col("nmfs_area").between(*area_range))
     if areas is not None:
         hauls = hauls.filter(F.col("nmfs_area").isin(list(areas)))
-    if first_year is not None:
+    if first_year is not None and "year" in composition.columns:
+        composition = composition.filter(F.col("year") >= first_year)
+    elif first_year is not None:
         hauls = hauls.filter(F.col("year") >= first_year)
-    return lower_names(composition).filter(F.col("species").isin(list(species))).join(hauls, "haul_join")
+    both = [c for c in hauls.columns if c in composition.columns and c != "haul_join"]
+    joined = composition.join(hauls.drop(*both), "haul_join")
+    return joined if columns is None else joined.select(*columns)
 
 
 def subarea_of_area(area: str = "nmfs_area"):
@@ -265,6 +276,7 @@ def allocate_by_proportion(
 
 
 # --- line survey -----------------------------------------------------------
+# fixed values: survey area names of the two groups of slopes
 WEST_SLOPES = ["NW Aleutians slope", "SW Aleutians slope"]
 EAST_SLOPES = ["NE Aleutians slope", "SE Aleutians slope"]
 

@@ -115,6 +115,7 @@ def tier5_specs(total: DataFrame, fmp: DataFrame, year: int) -> DataFrame:
     )
 
 
+# fixed values: the variables of the specification table in its order
 SPECS_VARIABLES = ["M", "Biomass", "F_OFL", "maxF_ABC", "F_ABC", "OFL", "maxABC", "ABC", "AI ABC", "EBS ABC"]
 ADDED_UP = ["Biomass", "OFL", "maxABC", "ABC", "AI ABC", "EBS ABC"]
 SPECIES_ORDER = [SST, NON_SST, COMPLEX]
@@ -155,9 +156,9 @@ def specs_crossfoot(fmp: DataFrame, year: int) -> DataFrame:
     rows = fmp.filter(F.col("year") == year).select("species", "year", "FMP", F.col("fmp_est").alias("biom"))
     return rows.select(
         "*",
-        strict_sum_over("biom", W.partitionBy("species")).alias("biom_spp_sum"),
-        strict_sum_over("biom", W.partitionBy("FMP")).alias("biom_fmp_sum"),
-    ).withColumn("prop_by_fmp", ratio("biom", "biom_spp_sum"))
+        strict_sum_over("biom", W.partitionBy("species")).alias("species_biomass"),
+        strict_sum_over("biom", W.partitionBy("FMP")).alias("fmp_biomass"),
+    ).withColumn("fmp_share", ratio("biom", "species_biomass"))
 
 
 def specs_ofl_check(specs: DataFrame) -> DataFrame:
@@ -387,12 +388,9 @@ def model_compare_pct(biomass: DataFrame, base: str, other: str, signed: bool =
 SUMMARY = ["min", "q1", "median", "mean", "q3", "max"]
 
 
-def five_numbers(df: DataFrame, column: str, stored: bool = False) -> DataFrame:
-    """Least, quartiles, mean and largest value as rows (statistic, value).
-
-    ``stored`` says that the column is read as it is and need not be settled.
-    """
-    df = df.select(column) if stored else settled(df.select(column))
+def five_numbers(df: DataFrame, column: str) -> DataFrame:
+    """Least, quartiles, mean and largest value as rows (statistic, value)."""
+    df = settled(df.select(column))
     quartiles = exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0])
     name = (
         F.when(F.col("prob") == 0.0, "min")

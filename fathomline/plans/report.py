@@ -13,17 +13,34 @@ from fathomline.plans import catch as tables
 from fathomline.session import settled
 
 
+def plain_double(value: Column) -> Column:
+    """A double with 15 significant digits and without exponent, where 38 digits can hold it so."""
+    short = F.format_string("%.14e", value).try_cast("double")
+    small = F.abs(short) < 1
+    wide = F.when(small, short.try_cast("decimal(38,37)").cast("string")).otherwise(
+        short.try_cast("decimal(38,15)").cast("string")
+    )
+    text = F.coalesce(drop_trailing_zeros(wide), short.cast("string"))
+    # beyond the digits that a decimal has after the point
+    return F.when((short != 0) & (F.abs(short) < 1e-22), short.cast("string")).otherwise(text)
+
+
 def _printed(df: DataFrame) -> list[Column]:
-    """Columns as report text: doubles without exponent, missing as NA."""
+    """Columns as report text: doubles without exponent, missing as NA, quotes where a comma or quote stands."""
     texts = []
     for name, kind in df.dtypes:
         value = F.col(f"`{name}`")
-        if kind == "double":
-            value = drop_trailing_zeros(value.cast("decimal(38,10)").cast("string"))
-        texts.append(or_na(value.cast("string")))
+        value = plain_double(value) if kind == "double" else value.cast("string")
+        texts.append(or_na(quoted(value)))
     return texts
 
 
+def quoted(text: Column) -> Column:
+    """A CSV field: in quotes, those inside doubled, if it has a comma, a quote or a line end."""
+    inside = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\\n\\r]'), inside).otherwise(text)
+
+
 def _lines(df: DataFrame, number: int, row_no: Column, line: Column) -> DataFrame:
     return df.select(F.lit(number).alias("section"), row_no.cast("bigint").alias("row_no"), line.alias("line"))
 

@@ -10,12 +10,10 @@ tridiagonal system solved in time proportional to its years.
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,17 +21,20 @@ from pyspark.sql import functions as F
 from fathomline.functions import na_skipping_sum
 from fathomline.operators import pivot_wider
 from fathomline.plans.labels import Z_EXACT, Z_ROUNDED
-
-# the fit goes to the workers by value: they need numpy and pandas, not this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from fathomline.session import ship_package
 
 LOG_SIGMA_BOUNDS = (-5.0, 2.0)
 LOG_2PI = math.log(2 * math.pi)
+# fixed value: the cv that an observation without one counts with (log-scale variance ln 82)
+MISSING_CV = 9.0
+NEWTON_STEPS = 50
+NEWTON_GRADIENT = 1e-7
 STATE = (
     "region STRING, year INT, re_est DOUBLE, re_lci DOUBLE, re_uci DOUBLE, biomsd DOUBLE, biomsd_sd DOUBLE"
 )
 FIT = (
-    "species STRING, model_name STRING, nll DOUBLE, mgc DOUBLE, log_det_hess DOUBLE, n_par INT,"
+    "species STRING, model_name STRING, nll DOUBLE, mgc DOUBLE, log_det_hess DOUBLE, n_par INT, n_used INT, n_unused INT,"
+    " steps INT, stop STRING,"
     " parameters ARRAY<STRUCT<parameter STRING, est DOUBLE, se DOUBLE>>,"
     f" states ARRAY<STRUCT<{STATE}>>"
 )
@@ -100,7 +101,9 @@ def with_index(grid: DataFrame, index: DataFrame, species: str, region: str) ->
 class _Stock:
     """Observations of one stock as years by regions, with its likelihood."""
 
-    def __init__(self, pdf: pd.DataFrame, is_se: bool):
+    def __init__(self, pdf: pd.DataFrame, is_se: bool, missing_cv: float | None = MISSING_CV):
+        self.missing_cv = missing_cv
+        self.used = self.unused = 0
         self.regions = sorted(pdf["region"].unique())
         self.years = np.arange(int(pdf["year"].min()), int(pdf["year"].max()) + 1)
         row = (pdf["year"] - self.years[0]).to_numpy(int)
@@ -118,16 +121,21 @@ class _Stock:
             self.has_index = bool((self.index_weight > 0).any())
         self.precision = self.weight + self.index_weight
 
-    @staticmethod
-    def _observations(pdf, value, error, row, column, shape, is_se):
+    def _observations(self, pdf, value, error, row, column, shape, is_se):
         amount = pdf[value].to_numpy(float)
         cv = pdf[error].to_numpy(float)
         seen = amount > 0
         safe = np.where(seen, amount, 1.0)
         if is_se:
             cv = cv / safe
-        variance = np.where(seen, np.log(np.square(cv) + 1), 1.0)
-        seen &= variance > 0
+        present = np.isfinite(cv) & (cv > 0)
+        if self.missing_cv is not None:
+            cv = np.where(present, cv, self.missing_cv)
+            present = np.ones_like(present)
+        variance = np.where(seen & present, np.log(np.square(cv) + 1), 1.0)
+        self.unused += int((seen & ~present).sum())
+        seen &= present
+        self.used += int(seen.sum())
         weight, y = np.zeros(shape), np.zeros(shape)
         weight[row[seen], column[seen]] = 1 / variance[seen]
         y[row[seen], column[seen]] = np.log(safe[seen])
@@ -226,9 +234,36 @@ def _number(value) -> float | None:
     return float(value) if np.isfinite(value) else None
 
 
-def fit_stock(pdf: pd.DataFrame, is_se: bool = False) -> dict:
-    """Fit one stock: parameters, states with intervals, and convergence numbers."""
-    stock = _Stock(pdf, is_se)
+def _newton(f, theta, low: float, high: float):
+    """Newton steps to a small gradient: (theta, steps, why it stopped).
+
+    A long step is shortened, one that does not lower ``f`` is halved.
+    """
+    for steps in range(NEWTON_STEPS):
+        gradient = _gradient(f, theta)
+        if np.max(np.abs(gradient)) < NEWTON_GRADIENT:
+            return theta, steps, "gradient"
+        hessian = _hessian(f, theta)
+        if np.any(np.linalg.eigvalsh(hessian) <= 0):
+            return theta, steps, "not convex"
+        step = np.linalg.solve(hessian, gradient)
+        step *= min(1.0, 0.5 / np.max(np.abs(step)))
+        before = f(theta)
+        while np.max(np.abs(step)) > 1e-10 and not (low <= (theta - step)[0] <= high and f(theta - step) <= before):
+            step /= 2
+        if np.max(np.abs(step)) <= 1e-10:
+            return theta, steps, "no lower value"
+        theta = theta - step
+    return theta, NEWTON_STEPS, "steps"
+
+
+def fit_stock(pdf: pd.DataFrame, is_se: bool = False, missing_cv: float | None = MISSING_CV) -> dict:
+    """Fit one stock: parameters, states with intervals, and convergence numbers.
+
+    A positive amount with a zero or missing cv counts with ``missing_cv``; with None it is
+    left out and counted as unused.
+    """
+    stock = _Stock(pdf, is_se, missing_cv)
     low, high = LOG_SIGMA_BOUNDS
     log_sigma = _minimise(lambda s: stock.solve(s, stock.best_log_q(s))[2], low, high)
     names = ["process_error"]
@@ -236,15 +271,7 @@ def fit_stock(pdf: pd.DataFrame, is_se: bool = False) -> dict:
     if stock.has_index:
         names.append("scaling_parameter_q")
         theta = np.array([log_sigma, stock.best_log_q(log_sigma)])
-    for _ in range(3):
-        hessian = _hessian(stock.nll, theta)
-        if np.linalg.det(hessian) <= 0:
-            break
-        step = np.linalg.solve(hessian, _gradient(stock.nll, theta))
-        moved = theta - step
-        if not low <= moved[0] <= high or np.max(np.abs(step)) > 0.1:
-            break
-        theta = moved
+    theta, steps, stop = _newton(stock.nll, theta, low, high)
     gradient = _gradient(stock.nll, theta)
     hessian = _hessian(stock.nll, theta)
     determinant = np.linalg.det(hessian)
@@ -279,6 +306,10 @@ def fit_stock(pdf: pd.DataFrame, is_se: bool = False) -> dict:
         "mgc": float(np.max(np.abs(gradient))),
         "log_det_hess": _number(math.log(determinant)) if determinant > 0 else None,
         "n_par": len(theta),
+        "n_used": stock.used,
+        "n_unused": stock.unused,
+        "steps": steps,
+        "stop": stop,
         "parameters": [
             {"parameter": n, "est": float(e), "se": _number(s)} for n, e, s in zip(names, theta, errors)
         ],
@@ -287,17 +318,19 @@ def fit_stock(pdf: pd.DataFrame, is_se: bool = False) -> dict:
 
 
 # --- fits as tables --------------------------------------------------------
-def rw_fit(observations: DataFrame, is_se: bool = False) -> DataFrame:
+def rw_fit(observations: DataFrame, is_se: bool = False, missing_cv: float | None = MISSING_CV) -> DataFrame:
     """One row per model and species with its parameters and states.
 
     ``observations`` has model_name, species, region, year, biomass, cv and may have
     cpue and cpue_cv. A group holds the years by regions of one stock, never raw
-    records. Several tables can be read from a fit: settle it first.
+    records. Several tables can be read from a fit: settle it first. ``missing_cv`` as
+    in ``fit_stock``.
     """
+    ship_package(observations.sparkSession)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         model_name, species = key
-        return pd.DataFrame([{"species": species, "model_name": model_name, **fit_stock(pdf, is_se)}])
+        return pd.DataFrame([{"species": species, "model_name": model_name, **fit_stock(pdf, is_se, missing_cv)}])
 
     return observations.groupBy("model_name", "species").applyInPandas(fit, FIT)
 
@@ -334,9 +367,13 @@ def rw_area_output(fit: DataFrame) -> DataFrame:
     return totals.unionByName(states.select(*columns))
 
 
-def area_sd(fit: DataFrame) -> DataFrame:
-    """Log-scale state and its sd per region and year, for combining regions."""
-    return state_rows(fit).select("model_name", "species", "year", "region", "re_est", "biomsd", "biomsd_sd")
+def input_check(data: DataFrame) -> DataFrame:
+    """Positive biomass and how much of it has a zero or missing cv, by species and region."""
+    seen = data.filter(F.col("biomass") > 0)
+    bare = F.col("cv").isNull() | F.isnan("cv") | (F.col("cv") <= 0)
+    return seen.groupBy("species", "region").agg(
+        F.count(F.lit(1)).alias("n_observed"), F.count(F.when(bare, 1)).alias("n_without_cv")
+    )
 
 
 def fit_diagnostics(fit: DataFrame) -> DataFrame:
@@ -345,6 +382,10 @@ def fit_diagnostics(fit: DataFrame) -> DataFrame:
         "species",
         "log_det_hess",
         "mgc",
+        "n_used",
+        "n_unused",
+        "steps",
+        "stop",
         ((F.col("mgc") < 0.001) & (F.coalesce("log_det_hess", F.lit(-1.0)) > 0)).alias("converged"),
     )
 
@@ -399,15 +440,3 @@ def stack_models(models: Mapping[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)
     return union
-
-
-def predictions(fit: DataFrame) -> DataFrame:
-    """Predicted biomass by species group, model, stratum and year."""
-    return state_rows(fit).select(
-        F.col("species").alias("species_group"),
-        "model_name",
-        F.col("region").alias("strata"),
-        "year",
-        F.col("re_est").alias("pred"),
-    )
-

@@ -96,7 +96,7 @@ WHERE s.species IN (349, 350, 352) AND h.nmfs_area BETWEEN 500 AND 543""",
 )
 
 # fixed values: reporting areas of the second observer query
-LISTED_AREAS = [530, 523, 518, 517, 513, 509, 516, 512, 508, 514, 524, 543, 542, 541]
+LISTED_AREAS = [530, 550, 523, 518, 517, 513, 509, 516, 512, 508, 514, 524, 543, 542, 541, 610]
 
 register(
     "observer_join_areas",
@@ -105,7 +105,7 @@ register(
 SELECT s.haul_join, s.species, s.extrapolated_weight, h.nmfs_area, h.gear_type, h.year
 FROM obs_spcomp s JOIN obs_haul h ON s.haul_join = h.haul_join
 WHERE s.species IN (349, 350, 352) AND h.year >= 1996
-  AND h.nmfs_area IN (530, 523, 518, 517, 513, 509, 516, 512, 508, 514, 524, 543, 542, 541)""",
+  AND h.nmfs_area IN (530, 550, 523, 518, 517, 513, 509, 516, 512, 508, 514, 524, 543, 542, 541, 610)""",
     uses=("obs_spcomp", "obs_haul"),
 )
 

@@ -113,9 +113,9 @@ register(
     "specs_crossfoot",
     lambda t: l.specs_crossfoot(l.fmp_estimates(_combined(t)), YEAR),
     f"""
-SELECT species, year, "FMP", round(biom, 6) AS biom, round(sum(biom) OVER (PARTITION BY species), 6) AS biom_spp_sum,
-       round(sum(biom) OVER (PARTITION BY "FMP"), 6) AS biom_fmp_sum,
-       round(biom / sum(biom) OVER (PARTITION BY species), 6) AS prop_by_fmp
+SELECT species, year, "FMP", round(biom, 6) AS biom, round(sum(biom) OVER (PARTITION BY species), 6) AS species_biomass,
+       round(sum(biom) OVER (PARTITION BY "FMP"), 6) AS fmp_biomass,
+       round(biom / sum(biom) OVER (PARTITION BY species), 6) AS fmp_share
 FROM (SELECT species, year, {_FMP} AS "FMP", sum(re_est) AS biom FROM model_output
       WHERE year = {YEAR} GROUP BY 1, 2, 3) f""",
     uses=("model_output",),
@@ -492,7 +492,7 @@ FROM pct""",
 # the same summary over as many values as there are records
 register(
     "five_number_summary",
-    lambda t: l.five_numbers(t["noncomm"], "weight", stored=True),
+    lambda t: l.five_numbers(t["noncomm"], "weight"),
     """
 SELECT unnest(['min', 'q1', 'median', 'mean', 'q3', 'max']) AS statistic,
        unnest([round(min(weight), 4), round(quantile_cont(weight, 0.25), 4), round(quantile_cont(weight, 0.5), 4),

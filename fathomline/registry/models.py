@@ -76,7 +76,17 @@ register(
     lambda t: m.rw_area_output(_fit(t)),
     digits={"re_est": 3, "re_lci": 3, "re_uci": 3},
 )
-register("fit_diagnostics", lambda t: m.fit_diagnostics(_fit(t)).select("model_name", "species", "converged"))
+register(
+    "model_input_check",
+    lambda t: m.input_check(_strata(t)),
+    """
+SELECT species, region, count(*) AS n_observed,
+       count(CASE WHEN cv IS NULL OR isnan(cv) OR cv <= 0 THEN 1 END) AS n_without_cv
+FROM strata WHERE biomass > 0 GROUP BY species, region""",
+    uses=("survey_zeros",),
+    extra=STRATA_SQL,
+)
+register("fit_diagnostics", lambda t: m.fit_diagnostics(_fit(t)).select("model_name", "species", "n_used", "n_unused", "converged"))
 register("param_table", lambda t: m.param_table(_fit(t)), digits={n: 4 for n in ("estimate", "std_err", "lci", "uci")})
 register("model_aic", lambda t: m.model_aic(_fit(t)))
 

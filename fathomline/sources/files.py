@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema) -> DataFrame:
     """CSV with a header, NA for missing, quoted commas; a byte-order mark is dropped."""
     return (
         spark.read.schema(schema)
@@ -20,16 +22,16 @@ def read_csv(spark: SparkSession, path, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` and hand it back, so that a pipeline can go on from it."""
+    """Write ``df`` and return what was written, read back, so that a pipeline goes on without redoing it."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
-    return df
+    return read_csv(df.sparkSession, path, df.schema)
 
 
 def write_yearly(df: DataFrame, path: str, assessment_year: int) -> DataFrame:
-    """Parquet output of one assessment year in its own partition folder."""
+    """Parquet output of one assessment year in its own partition folder, read back."""
     target = f"{path.rstrip('/')}/assessment_year={int(assessment_year)}"
     df.write.mode("overwrite").parquet(target)
-    return df
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def read_yearly(spark: SparkSession, path: str) -> DataFrame:
@@ -44,13 +46,15 @@ def jdbc_options(
     upper: int | None = None,
     partitions: int = 64,
     fetch_rows: int = 10_000,
+    properties: Mapping[str, str] | None = None,
 ) -> dict[str, str]:
     """Reader options for a database query, split on a numeric column when one is given.
 
     Spark takes a split only together with ``dbtable``, so the query becomes a
-    derived table in that case.
+    derived table in that case. ``properties`` go to the driver as they are: user, password,
+    driver class and the like, which the caller takes from where secrets are kept.
     """
-    options = {"url": url, "fetchsize": str(fetch_rows)}
+    options = {**(properties or {}), "url": url, "fetchsize": str(fetch_rows)}
     if partition_column is None:
         return {**options, "query": query}
     if lower is None or upper is None:
@@ -71,9 +75,9 @@ def read_database(spark: SparkSession, **options) -> DataFrame:
 
 
 def write_report(lines: DataFrame, path: str) -> DataFrame:
-    """Write report lines in order; part files follow each other in name order."""
+    """Write report lines in order; part files follow each other in name order. Returns the lines read back."""
     lines.orderBy("section", "row_no").select("line").write.mode("overwrite").text(path)
-    return lines
+    return lines.sparkSession.read.text(path).withColumnRenamed("value", "line")
 
 
 def quoted_list(values) -> str:

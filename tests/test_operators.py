@@ -12,6 +12,7 @@ from fathomline.operators import (
     grid,
     lookup_join,
     pivot_wider,
+    running_sum,
     top_with_ties,
     unpivot_longer,
     year_span,
@@ -92,11 +93,33 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.createDataFrame([], "v DOUBLE"), "v", [0.5]).count() == 0
 
 
-def test_lookup_join_broadcasts_only_small_lookups(spark, rows):
+def test_lookup_join_leaves_the_strategy_to_the_planner(spark, rows):
     fact = spark.range(100).select((F.col("id") % 5).alias("k"), "id")
     lookup = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
     small = lookup_join(fact, lookup, ["k"])
-    large = lookup_join(fact, lookup, ["k"], max_rows=3)
-    assert rows(small) == rows(large)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
-    assert "BroadcastHashJoin" not in large._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        large = lookup_join(fact, lookup, ["k"])
+        assert rows(small) == rows(large)
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_complete_with_many_values_in_a_later_key(spark):
+    cells = spark.range(100_000).select((F.col("id") % 3).alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("x"))
+    full = complete(cells, ["a", "b"], {"x": 0.0})
+    assert tuple(full.agg(F.count("*"), F.sum("x")).first()) == (300_000, 100_000.0)
+
+
+def test_running_sum_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("o"), F.lit(1).alias("w"))
+    got = running_sum(df, "g", "o", "w", "upto").collect()
+    assert all(r["upto"] == r["o"] // 2 + 1 for r in got)
+
+
+def test_wide_refuses_repeated_cells(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0)], "i INT, k STRING, x DOUBLE")
+    with pytest.raises(Exception, match="more than one row"):
+        pivot_wider(df, ["i"], "k", "x", ["a"]).collect()

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathomline.operators import clean_names
 from fathomline.plans import report
@@ -30,9 +31,10 @@ def test_header_only_file(spark, tmp_path):
     assert files.read_csv(spark, str(path), schemas.SURVEY_LENGTHS_RAW).count() == 0
 
 
-def test_csv_round_trip_passes_its_input_through(spark, tmp_path, rows):
+def test_csv_round_trip_hands_back_what_it_wrote(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, None, "a,b"), (2, 2.5, "c")], "i INT, v DOUBLE, s STRING")
-    assert files.write_csv(df, str(tmp_path / "out")) is df
+    written = files.write_csv(df, str(tmp_path / "out"))
+    assert rows(written) == rows(df) and len(written.inputFiles()) > 0
     back = files.read_csv(spark, str(tmp_path / "out"), "i INT, v DOUBLE, s STRING")
     assert rows(back) == rows(df)
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
@@ -53,6 +55,8 @@ def test_database_options():
     split = files.jdbc_options("jdbc:x", "select 1", "year", 2003, 2023, 8)
     assert split["dbtable"] == "(select 1) source" and "query" not in split
     assert (split["lowerBound"], split["upperBound"], split["numPartitions"]) == ("2003", "2023", "8")
+    known = files.jdbc_options("jdbc:x", "select 1", properties={"user": "u", "driver": "d"})
+    assert known["user"] == "u" and known["driver"] == "d" and known["url"] == "jdbc:x"
     with pytest.raises(ValueError):
         files.jdbc_options("jdbc:x", "select 1", "year")
     assert files.quoted_list([350, "o'x"]) == "'350', 'o''x'"
@@ -124,6 +128,15 @@ def test_model_report(spark, tmp_path, rows):
     assert estimates[1] == ("RE_a", 2, "biom", 8.7928, 0.4034, [-0.0846, 1.0])
 
 
+def test_numbers_and_fields_as_report_text(spark):
+    values = [1e-11, 1.5, 1e7, 123456789.125, 0.1 + 0.2, 1e300, None, -2.0, 0.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k INT, v DOUBLE").orderBy("k")
+    got = [r["t"] for r in df.select(report.plain_double(F.col("v")).alias("t")).collect()]
+    assert got == ["0.00000000001", "1.5", "10000000", "123456789.125", "0.3", "1.0E300", None, "-2", "0"]
+    fields = spark.createDataFrame([("a,b",), ('say "x"',), ("plain",)], "s STRING")
+    assert [r["t"] for r in fields.select(report.quoted(F.col("s")).alias("t")).collect()] == ['"a,b"', '"say ""x"""', "plain"]
+
+
 def test_sectioned_report_keeps_its_order(spark, tmp_path):
     one = spark.createDataFrame([(2, 0.5), (1, None), (3, 12345678.25)], "a INT, b DOUBLE").orderBy("a")
     lines = report.stack_sections(

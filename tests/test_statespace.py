@@ -119,3 +119,18 @@ def test_input_grid(spark, rows):
     assert len(own) == 6
     wide = rows(m.model_input_wide(m.model_input_grid(data, 2003), ["AI", "SBS"]))
     assert ("a", "mu", 2000, 5.0, 0.0) in wide and ("b", "cv", 2002, 0.0, 0.2) in wide
+
+
+def test_an_observation_without_cv_counts_by_rule():
+    seen = [("A", y, b, c) for y, b, c in ((2000, 10.0, 0.1), (2001, 500.0, 0.0), (2002, 10.0, 0.1))]
+    counted = m.fit_stock(frame(seen, 2000, 2002, ("A",)))
+    left_out = m.fit_stock(frame(seen, 2000, 2002, ("A",)), missing_cv=None)
+    assert (counted["n_used"], counted["n_unused"]) == (3, 0)
+    assert (left_out["n_used"], left_out["n_unused"]) == (2, 1)
+    assert counted["states"][1]["re_est"] > left_out["states"][1]["re_est"] * 1.0001
+    assert left_out["states"][1]["re_est"] == pytest.approx(10.0, rel=1e-3)
+
+
+def test_newton_reports_why_it_stopped():
+    fit = m.fit_stock(frame([x for x in golden.SURVEY if x[1] <= 2020], 1982, 2020))
+    assert fit["stop"] in ("gradient", "no lower value") and fit["mgc"] < 1e-5 and fit["steps"] < 50
