@@ -6,6 +6,7 @@ from fathomline.plans.extraction import area_lookup
 from fathomline.plans.labels import COMMON_SPECIES, GEARS
 from fathomline.registry import register
 from fathomline.registry.shared import ALL_AREAS, CATCH_USES, CLEAN_SQL, SPLIT_SQL, atka, cells, clean, proportion
+from fathomline.session import settled
 
 DIGITS = {"catch": 4}
 
@@ -448,9 +449,17 @@ register(
     extra=CLEAN_SQL,
 )
 
+
+
+def _by_map_area(t):
+    """The areas are those of the settled sums, so that the landings are read once."""
+    summed = settled(cells(t, "nmfs_area"))
+    return c.catch_by_map_area(summed, summed.select("nmfs_area"))
+
+
 register(
     "catch_by_map_area",
-    lambda t: c.catch_by_map_area(cells(t, "nmfs_area"), area_lookup(t["catch_raw"], "BSAI")),
+    _by_map_area,
     """
 SELECT a.nmfs_area AS "REP_AREA", m.map, round(sum(CASE WHEN m.map = 'All Other Rockfish' OR m.map = k.label
        THEN k.tons END), 4) AS catch

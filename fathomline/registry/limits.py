@@ -431,6 +431,47 @@ register(
     extra=SPLIT_SQL,
 )
 
+_WHOLE = "coalesce(format('{{:.0f}}', {0}), 'NA')"
+_YEARLY = "FROM (SELECT s.year, s.total, c.catch FROM sara s LEFT JOIN annual c ON s.year = c.year) y"
+_SURVEYED = {
+    "annual": "SELECT year, round_even(round(sum(tons), 6), 0) AS catch FROM catch GROUP BY year",
+    "surveyed": "SELECT year, "
+    + ", ".join(f"sum(CASE WHEN region = '{r}' THEN biomass END) AS \"{r}\"" for r in _REGIONS)
+    + " FROM areas WHERE year >= 1991 GROUP BY year",
+}
+_EXPORT_EXTRA = {**SPLIT_SQL, **_SARA, **STRATA_SQL, **_SURVEYED}
+_EXPORT_USES = tuple(dict.fromkeys((*_BOTH, "survey_zeros")))
+
+
+def _fixed_lines(section: int, lines: list[str]) -> str:
+    """Rows of given lines."""
+    return "\nUNION ALL ".join(
+        f"SELECT {section} AS section, CAST({k} AS BIGINT) AS row_no, '{line}' AS line" for k, line in enumerate(lines)
+    )
+
+
+def _series_lines(section: int, names: dict[str, str], source: str) -> str:
+    """For each name a title and a line of its text by year."""
+    rows = []
+    for place, (name, text) in enumerate(names.items()):
+        rows.append(f"SELECT {section}, {2 * place}, '#{name}'")
+        rows.append(f"SELECT {section}, {2 * place + 1}, string_agg({text}, ' ' ORDER BY year) {source}")
+    return "\nUNION ALL ".join(rows)
+
+
+def _own_year_lines(section: int, titles: list[str], column: str, source: str) -> str:
+    """Titles, then the years that have a value and their values."""
+    n = len(titles)
+    known = f"FROM {source} WHERE {column} IS NOT NULL"
+    return "\nUNION ALL ".join(
+        [f"SELECT {section}, {k}, '{title}'" for k, title in enumerate(titles)]
+        + [
+            f"SELECT {section}, {n}, coalesce(string_agg(CAST(year AS VARCHAR), ' ' ORDER BY year), '') {known}",
+            f"SELECT {section}, {n + 1}, coalesce(string_agg({_WHOLE.format(column)}, ' ' ORDER BY year), '') {known}",
+        ]
+    )
+
+
 register(
     "sara_export",
     lambda t: report.archive_export(
@@ -439,6 +480,27 @@ register(
         l.sara_annual_catch(cells(t)),
         l.sara_survey(areas(t), _REGIONS),
     ),
+    "\nUNION ALL ".join(
+        [
+            _fixed_lines(1, ["#STOCK", '"COMPLEX"', "#TIER", '"5"', "#ASMT_YEAR", str(YEAR), "#NUM_SEXES", '"NA"']),
+            _series_lines(
+                2,
+                {
+                    "FISHERYYEAR": "CAST(year AS VARCHAR)",
+                    "TOTALBIOMASS": _WHOLE.format("total"),
+                    "TOTALCATCH": _WHOLE.format("catch"),
+                },
+                _YEARLY,
+            ),
+            _series_lines(
+                3,
+                {"SURVEYYEAR": "CAST(year AS VARCHAR)", **{f"SURVEY_{r}": _WHOLE.format(f'"{r}"') for r in _REGIONS}},
+                "FROM surveyed",
+            ),
+        ]
+    ),
+    uses=_EXPORT_USES,
+    extra=_EXPORT_EXTRA,
 )
 
 register(
@@ -449,6 +511,17 @@ register(
         _sara(t),
         settled(l.sara_survey(areas(t), _REGIONS)),
     ),
+    "\nUNION ALL ".join(
+        [
+            _fixed_lines(1, ["COMPLEX   #STOCK", "5   #TIER", f"{YEAR}   #ASSESSYEAR"]),
+            _own_year_lines(2, ["#TOTALCATCH", "1"], "catch", "annual"),
+            _own_year_lines(3, ["#ABUNDANCE", "1"], "total", "sara"),
+            _fixed_lines(4, ["#SURVEYNAMES   " + "   ".join(_REGIONS), " ".join("1" for _ in _REGIONS)]),
+            *[_own_year_lines(4 + k, [f"#SURVEY{k}"], f'"{r}"', "surveyed") for k, r in enumerate(_REGIONS, 1)],
+        ]
+    ),
+    uses=_EXPORT_USES,
+    extra=_EXPORT_EXTRA,
 )
 
 # --- model comparison --------------------------------------------------------
