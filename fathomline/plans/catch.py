@@ -23,7 +23,14 @@ from fathomline.functions import (
     strict_sum_where,
 )
 from fathomline.operators import clean_names, complete, lower_names, pivot_wider, top_with_ties
-from fathomline.plans.extraction import CATCH_COLUMNS, allocate_by_proportion, catch_clean
+from fathomline.plans.extraction import (
+    CATCH_COLUMNS,
+    MIXED_CLASS,
+    MIXED_REST,
+    allocate_by_proportion,
+    catch_clean,
+    short_species,
+)
 from fathomline.plans.labels import (
     COMMON_SPECIES,
     COMPLEX,
@@ -50,20 +57,27 @@ def with_complex(catch: DataFrame) -> DataFrame:
     return catch.withColumn("complex", complex_of_name())
 
 
-def catch_cells(raw: DataFrame, proportion: DataFrame, keys: Sequence[str]) -> DataFrame:
+def catch_cells(
+    raw: DataFrame, proportion: DataFrame, keys: Sequence[str], species: Sequence[str] | None = None
+) -> DataFrame:
     """Landing records summed over ``keys``, tidied, and split into SST and other thornyheads.
 
     The source columns are summed as they are; the sums are then tidied and split. So
     no text is worked on record by record, and the records are neither joined nor
-    doubled. A key may have several rows here: the tables sum again.
+    doubled. A key may have several rows here: the tables sum again. ``species`` keeps these
+    names only; records that cannot contribute go before the first sum.
     """
+    raw = lower_names(raw)
+    if species is not None:
+        mixed = [MIXED_CLASS] if {SST, MIXED_REST} & set(species) else []
+        raw = raw.filter(short_species().isin([*species, *mixed]))
     needed = list(dict.fromkeys(["year", "fmp_subarea", *keys, "species_name"]))
     sums = (
-        lower_names(raw)
-        .groupBy(*[CATCH_COLUMNS[key] for key in needed])
+        raw.groupBy(*[CATCH_COLUMNS[key] for key in needed])
         .agg(strict_sum(CATCH_COLUMNS["tons"]).alias(CATCH_COLUMNS["tons"]))
     )
-    return allocate_by_proportion(catch_clean(sums, columns=[*needed, "tons"]), proportion, aggregated=True)
+    split = allocate_by_proportion(catch_clean(sums, columns=[*needed, "tons"]), proportion, aggregated=True)
+    return split if species is None else split.filter(F.col("species_name").isin(list(species)))
 
 
 # --- totals ----------------------------------------------------------------

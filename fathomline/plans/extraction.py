@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import na_skipping_sum, ratio, replace_first_literal, strict_sum
@@ -109,16 +109,25 @@ CATCH_COLUMNS = {
 }
 
 
+MIXED_CLASS = "thornyhead"
+MIXED_REST = "other thornyheads"
+
+
+def short_species(name_parts: Sequence[str] = NAME_PARTS) -> Column:
+    """Species name without the parts that reports leave out."""
+    species = F.col("species_name")
+    for part in name_parts:
+        species = replace_first_literal(species, part)
+    return species
+
+
 def catch_clean(
     raw: DataFrame, name_parts: Sequence[str] = NAME_PARTS, columns: Sequence[str] = tuple(CATCH_COLUMNS)
 ) -> DataFrame:
     """Landing records (or their sums) with tidy columns, short species names and EBS for BS."""
-    species = F.col("species_name")
-    for part in name_parts:
-        species = replace_first_literal(species, part)
     subarea = F.col("fmp_subarea")
     tidied = {
-        "species_name": species,
+        "species_name": short_species(name_parts),
         "fmp_subarea": F.when(subarea == "BS", F.lit("EBS")).otherwise(subarea),
     }
     return lower_names(raw).select(*[tidied.get(c, F.col(CATCH_COLUMNS[c])).alias(c) for c in columns])
@@ -247,9 +256,9 @@ def haul_count_check(composition: DataFrame, hauls: DataFrame, code: int, at_lea
 def allocate_by_proportion(
     catch: DataFrame,
     proportion: DataFrame,
-    mixed: str = "thornyhead",
+    mixed: str = MIXED_CLASS,
     part: str = SST,
-    rest: str = "other thornyheads",
+    rest: str = MIXED_REST,
     share: str = "prop_sst",
     aggregated: bool = False,
 ) -> DataFrame:

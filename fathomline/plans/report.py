@@ -107,6 +107,35 @@ def catch_report(
     return stack_sections(sections)
 
 
+def biomass_report(
+    survey: DataFrame, regions: DataFrame, combined: DataFrame, source: str, access_date: str
+) -> DataFrame:
+    """All biomass tables as (section, row_no, line).
+
+    ``survey`` has the survey estimates by species, region and year with their limits,
+    ``regions`` the model's estimates (species, region, year and what else is to be
+    shown), ``combined`` their sums by level as ``combine_ci`` gives them.
+    """
+    spark = survey.sparkSession
+    combined = settled(combined)
+    keys = ["species", "region", "year"]
+
+    def level(name, *columns):
+        rows = combined.filter(F.col("level") == name)
+        return rows.select(*columns, "year", "est", "lci", "uci").orderBy(*columns, "year")
+
+    shown = ["biomass", "var", "lci", "uci"]
+    sections = [
+        text_section(spark, 0, ["Biomass tables", f"Surveys from {source}, queried {access_date}"]),
+        table_section(1, "Survey biomass (t) by region with 95% limits", survey.select(*keys, *shown).orderBy(*keys)),
+        table_section(2, "Model biomass (t) by region", regions.orderBy(*keys)),
+        table_section(3, "Model biomass (t) by FMP with 95% limits", level("fmp", "species", "FMP")),
+        table_section(4, "Model biomass (t) by species with 95% limits", level("species", "species")),
+        table_section(5, "Model biomass (t) of all species with 95% limits", level("total")),
+    ]
+    return stack_sections(sections)
+
+
 def archive_export(
     fields: Mapping[str, object],
     biomass: DataFrame,

@@ -311,10 +311,8 @@ SELECT year, CASE WHEN target_fishery IN ('Pollock', 'Halibut') THEN 'Other' ELS
 
 
 def _subsets(t):
-    rows = cells(t, "nmfs_area", "target", "gear")
-    return c.detailed_catch_byarea(
-        rows.filter(rows["species_name"].isin("dusky", "SST")), ALL_AREAS, ["species_name", "fmp_subarea"]
-    )
+    rows = cells(t, "nmfs_area", "target", "gear", species=("dusky", "SST"))
+    return c.detailed_catch_byarea(rows, ALL_AREAS, ["species_name", "fmp_subarea"])
 
 
 _AREA_COLUMNS = [str(a) for a in ALL_AREAS]

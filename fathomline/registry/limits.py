@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from fathomline.operators import grid
 from fathomline.plans import limits as l
 from fathomline.plans import report
+from fathomline.plans.survey import survey_ci, survey_grid_nulls
 from fathomline.registry import register
 from fathomline.registry.shared import CATCH_USES, SPLIT_SQL, cells
-from fathomline.registry.survey import LLS_SQL, STRATA_SQL, _index, areas
+from fathomline.registry.survey import LLS_SQL, STRATA_SQL, _index, areas, strata
 from fathomline.session import settled
 
 YEAR = 2001
@@ -431,6 +432,17 @@ register(
     extra=SPLIT_SQL,
 )
 
+register(
+    "biomass_report",
+    lambda t: report.biomass_report(
+        survey_grid_nulls(survey_ci(strata(t))),
+        t["model_output"].select("species", "region", "year", "re_est"),
+        _combined(t),
+        "survey_zeros",
+        "10/03/2022",
+    ),
+)
+
 _WHOLE = "coalesce(format('{{:.0f}}', {0}), 'NA')"
 _YEARLY = "FROM (SELECT s.year, s.total, c.catch FROM sara s LEFT JOIN annual c ON s.year = c.year) y"
 _SURVEYED = {

@@ -19,8 +19,8 @@ def proportion(t: Bound):
     return extraction.class_proportion_of_hauls(t["obs_spcomp"], t["obs_haul"], THORNYHEADS, HAUL_AREAS)
 
 
-def cells(t: Bound, *keys: str):
-    return tables.catch_cells(t["catch_raw"], proportion(t), keys)
+def cells(t: Bound, *keys: str, species=None):
+    return tables.catch_cells(t["catch_raw"], proportion(t), keys, species)
 
 
 def atka(t: Bound):

@@ -196,6 +196,26 @@ def test_catch_report(catch, prop, split):
     assert sum(line.startswith("Sum of total catch") for line in got) == 4
 
 
+def test_biomass_report(spark):
+    survey = spark.createDataFrame(
+        [("SST", "AI", 2000, 10.0, 4.0, 6.08, 13.92), ("SST", "SBS, west", 2000, None, None, None, None)],
+        "species STRING, region STRING, year INT, biomass DOUBLE, var DOUBLE, lci DOUBLE, uci DOUBLE",
+    )
+    model = spark.createDataFrame(
+        [("SST", "AI", 2000, 10.5, 2.35, 0.1), ("SST", "SBS", 2000, 2.0, 0.69, 0.2), ("non-SST", "SBS", 2000, 4.0, 1.39, 0.2)],
+        "species STRING, region STRING, year INT, re_est DOUBLE, biomsd DOUBLE, biomsd_sd DOUBLE",
+    )
+    regions = model.select("species", "region", "year", "re_est")
+    lines = report.biomass_report(survey, regions, l.combine_ci(model), "surveys", "2022-10-03")
+    got = [r["line"] for r in lines.orderBy("section", "row_no").collect()]
+    assert got[:2] == ["Biomass tables", "Surveys from surveys, queried 2022-10-03"]
+    at = got.index("species,region,year,biomass,var,lci,uci")
+    assert got[at + 1 : at + 3] == ["SST,AI,2000,10,4,6.08,13.92", 'SST,"SBS, west",2000,NA,NA,NA,NA']
+    at = got.index("species,region,year,re_est")
+    assert got[at + 1 : at + 4] == ["SST,AI,2000,10.5", "SST,SBS,2000,2", "non-SST,SBS,2000,4"]
+    assert [line.split(",")[1] for line in got[got.index("year,est,lci,uci") + 1 :]] == ["16.5"]
+
+
 # --- lengths -----------------------------------------------------------------
 def test_compositions_sum_to_one(spark, rows):
     schema = "source STRING, fmp_subarea STRING, species_code INT, year INT, length DOUBLE, frequency DOUBLE"
