@@ -206,17 +206,25 @@ def class_proportion_of_hauls(
     area_range: tuple[int, int],
     code: int = SST_AGENCY_CODE,
     name: str = "prop_sst",
+    first_year: int | None = None,
 ) -> DataFrame:
     """The same shares straight from the two source tables.
 
+    ``first_year`` bounds the year of the composition where that table has one, else of the haul.
     Weights are summed per haul before the join, so a haul with very many rows
     meets its haul record as a single row and the join keeps the shuffle of the sum.
     """
     hit = F.col("species") == code
     weight = F.col("extrapolated_weight")
+    composition, hauls = lower_names(composition), lower_names(hauls)
+    if first_year is not None:
+        since = F.col("year") >= first_year
+        if "year" in composition.columns:
+            composition = composition.filter(since)
+        else:
+            hauls = hauls.filter(since)
     per_haul = (
-        lower_names(composition)
-        .filter(F.col("species").isin(list(species)))
+        composition.filter(F.col("species").isin(list(species)))
         .groupBy("haul_join")
         .agg(
             F.count(F.when(hit, 1)).alias("seen"),
@@ -224,10 +232,8 @@ def class_proportion_of_hauls(
             strict_sum(weight).alias("total"),
         )
     )
-    places = (
-        lower_names(hauls)
-        .filter(F.col("nmfs_area").between(*area_range))
-        .select("haul_join", "year", subarea_of_area().alias("fmp_subarea"))
+    places = hauls.filter(F.col("nmfs_area").between(*area_range)).select(
+        "haul_join", "year", subarea_of_area().alias("fmp_subarea")
     )
     return (
         per_haul.join(places, "haul_join")

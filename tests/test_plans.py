@@ -196,6 +196,18 @@ def test_catch_report(catch, prop, split):
     assert sum(line.startswith("Sum of total catch") for line in got) == 4
 
 
+def test_observer_years_and_columns(spark, rows):
+    composition = spark.createDataFrame(
+        [(1, 350, 5.0, 2002), (1, 349, 5.0, 2003), (2, 350, 1.0, 2003)],
+        "HAUL_JOIN LONG, SPECIES INT, EXTRAPOLATED_WEIGHT DOUBLE, YEAR INT",
+    )
+    hauls = spark.createDataFrame([(1, 541, 2003), (2, 541, 2003)], "haul_join LONG, nmfs_area INT, year INT")
+    joined = x.observer_join(composition, hauls, [349, 350], first_year=2003, columns=["haul_join", "year", "nmfs_area"])
+    assert rows(joined) == [(1, 2003, 541), (2, 2003, 541)]
+    share = x.class_proportion_of_hauls(composition, hauls, [349, 350], (500, 543), first_year=2003)
+    assert rows(share) == [(2003, "AI", pytest.approx(1 / 6))]
+
+
 def test_biomass_report(spark):
     survey = spark.createDataFrame(
         [("SST", "AI", 2000, 10.0, 4.0, 6.08, 13.92), ("SST", "SBS, west", 2000, None, None, None, None)],
