@@ -13,55 +13,65 @@ MISSING = -(1 << 63)
 BLANKS = " \t\r"
 
 
-def _half_keys(c: Column, lo: Column, right: Column, text: Column) -> Column:
-    """States (lo, right, key) with half of the block between ``lo`` and ``right`` fixed on either side.
+def _halves(c: Column, lo: Column, right: Column) -> list[tuple[Column, Column]]:
+    """The two ways to fix half of the block between ``lo`` and ``right``: (lo, right) after it.
 
     ``c`` is the greater length of a pair. One edit lies in one half, so the two lines agree in
     all that is fixed on the other side, whichever of them has the character more.
     """
     half = F.floor((c - lo - right) / 2).cast("int")
+    return [((lo + half).cast("int"), right.cast("int")), (lo.cast("int"), (right + half).cast("int"))]
 
-    def state(low, high):
-        fixed = F.xxhash64(c, low, high, F.substring(text, F.lit(1), low), F.right(text, high))
-        return F.struct(low.cast("int").alias("lo"), high.cast("int").alias("right"), fixed.alias("key"))
 
-    return F.array(state(lo + half, right), state(lo, right + half))
+def _fixed(c: Column, lo: Column, right: Column, line: Column) -> Column:
+    """Hash of all that is fixed of a line and of where it is fixed."""
+    return F.xxhash64(c, lo, right, F.substring(line, F.lit(1), lo), F.right(line, right))
 
 
-def _shared(states: DataFrame) -> DataFrame:
+def _states(c: Column, more: Column, lo: Column, right: Column, key: Column) -> Column:
+    return F.struct(c.alias("c"), more.alias("more"), lo.alias("lo"), right.alias("right"), key.alias("key"))
+
+
+def _shared(states: DataFrame, scratch: Scratch) -> DataFrame:
     """States whose key belongs to more than one line."""
     counts = states.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return states.join(counts, "key")
+    return states.join(scratch.keep(counts), "key")
 
 
-def _near(firsts: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
+def _near(firsts: DataFrame, source: DataFrame, near_from: int, scratch: Scratch) -> DataFrame:
     """Lines (h1, h2) with an earlier line exactly one edit away.
 
-    ``firsts`` has (h1, h2, pos, keys): the distinct lines, their earliest place and their states.
+    ``firsts`` has (h1, h2, pos, size, keys): the distinct lines, their earliest place, their length and
+    the hashes of their halves, for a partner as long at most and for one a character longer.
     """
-    spread = firsts.filter("size(keys) > 0").select("h1", "h2", "pos", F.inline("keys"))
-    flagged = _shared(spread).groupBy("h1", "h2", "pos").agg(F.collect_list(F.struct("c", "more", "lo", "right")).alias("states"))
+    zero, size = F.lit(0), F.col("size")
+    spread = firsts.filter("size(keys) > 0").select("h1", "h2", "pos", "size", F.posexplode("keys").alias("way", "key"))
+    shared = _shared(spread.filter(size + F.floor(F.col("way") / 2) >= near_from), scratch)
+    ways = F.array(
+        *[_states(size + more, F.lit(more), lo, right, F.col("key")) for more in (0, 1) for lo, right in _halves(size + more, zero, zero)]
+    )
+    flagged = shared.select("h1", "h2", "pos", F.get(ways, F.col("way")).alias("state"))
+    flagged = flagged.groupBy("h1", "h2", "pos").agg(F.collect_list("state").alias("states"))
     by_doc = flagged.groupBy("pos.doc_id").agg(F.collect_list(F.struct("h1", "h2", "pos", "states")).alias("wanted"))
     fetched = source.join(by_doc.hint("shuffle_hash"), "doc_id").select("text", F.explode("wanted").alias("w")).distinct()
     states = scratch.keep(
         fetched.select("w.*", F.split_part("text", F.lit("\n"), F.col("w.pos.line_no") + 1).alias("line")).select(
             "h1", "h2", "pos", "line", F.inline("states")
-        )
+        ).drop("key")
     )
+    scratch.release()
     block = F.col("c") - F.col("lo") - F.col("right")
     c, lo, right, line = (F.col(x) for x in ("c", "lo", "right", "line"))
     # long lines: halve what may differ until its deletions are few
     while (states.agg(F.max(block).alias("m")).first()["m"] or 0) > BLOCK:
-        halves = states.filter(block > BLOCK).withColumn("s", F.explode(_half_keys(c, lo, right, line)))
-        halves = halves.select("h1", "h2", "pos", "line", "c", "more", "s.lo", "s.right", "s.key")
-        states = scratch.keep(states.filter(block <= BLOCK).unionByName(_shared(halves).drop("key")))
+        ways = F.array(*[_states(c, F.col("more"), x, y, _fixed(c, x, y, line)) for x, y in _halves(c, lo, right)])
+        halves = states.filter(block > BLOCK).select("h1", "h2", "pos", "line", F.inline(ways))
+        states = scratch.keep(states.filter(block <= BLOCK).unionByName(_shared(halves, scratch).select(*states.columns)))
 
     # the deletion neighbourhood: the longer line of a pair loses each character of the block in
     # turn, with the place kept; the shorter one stands for itself at place 0
     inner = F.expr("substring(line, lo + 1, length(line) - lo - right)")
-    around = states.withColumn("block", inner).withColumn(
-        "around", F.xxhash64(c, lo, right, F.substring(line, F.lit(1), lo), F.right(line, right))
-    )
+    around = states.withColumn("block", inner).withColumn("around", _fixed(c, lo, right, line))
     variants = F.when(F.col("more") == 1, F.expr("array(struct(0 AS p, xxhash64(around, block) AS variant))")).otherwise(
         F.expr(
             "transform(sequence(1, length(block)), i -> struct(i AS p,"
@@ -115,29 +125,24 @@ def remove_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     split = split.filter(F.btrim("line", F.lit(BLANKS)) != "")
     size = F.length("line")
     zero = F.lit(0)
-
-    def states(more: int) -> Column:
-        made = _half_keys(size + more, zero, zero, F.col("line"))
-        return F.transform(
-            made,
-            lambda s: F.struct((size + more).alias("c"), F.lit(more).alias("more"), s["lo"].alias("lo"), s["right"].alias("right"), s["key"].alias("key")),
-        )
-
-    keys = F.when(size >= near_from - 1, F.concat(states(0), states(1))).otherwise(F.array())
-    keys = F.filter(keys, lambda s: s["c"] >= near_from)
+    halves = [(size + more, lo, right) for more in (0, 1) for lo, right in _halves(size + more, zero, zero)]
+    keys = F.array(*[_fixed(c, lo, right, F.col("line")) for c, lo, right in halves])
     lines = scratch.keep(
         split.select(
             F.xxhash64("line").alias("h1"),
             F.xxhash64(F.lit(7), "line").alias("h2"),
             F.struct("doc_id", "line_no").alias("pos"),
-            keys.alias("keys"),
+            size.alias("size"),
+            F.when(size >= near_from - 1, keys).otherwise(F.array().cast("array<long>")).alias("keys"),
         )
     )
     firsts = lines.groupBy("h1", "h2").agg(
-        F.min("pos").alias("pos"), F.max("pos").alias("last"), F.first("keys").alias("keys")
+        F.min("pos").alias("pos"), F.max("pos").alias("last"), F.first("size").alias("size"), F.first("keys").alias("keys")
     )
     firsts = scratch.keep(firsts)
-    near = scratch.keep(_near(firsts.select("h1", "h2", "pos", "keys"), source, scratch))
+    scratch.release()
+    near = scratch.keep(_near(firsts.drop("last"), source, near_from, scratch))
+    scratch.release()
     # a line with one place and no earlier neighbour has nothing to lose
     repeated = firsts.filter("pos != last").select("h1", "h2", F.col("pos").alias("first"))
     again = lines.select("h1", "h2", "pos").join(repeated, ["h1", "h2"]).filter("pos != first").select("pos")
