@@ -283,6 +283,7 @@ def catch_fishery_area(catch: DataFrame, n: int = 5) -> DataFrame:
     return _key_areas(full).withColumn("complex_order", ordinal(F.col("complex"), COMPLEX_ORDER))
 
 
+# fixed values: regions in the order of the published table
 REGION_ORDER = ["AI", "SBS", "EBS Slope"]
 
 
@@ -352,7 +353,11 @@ def detailed_catch_byarea(catch: DataFrame, areas: Sequence[int], by: Sequence[s
         strict_sum("catch").alias("Total (t)"),
     )
     # gears by fisheries: a few dozen rows for each table
-    whole = strict_sum_over("Total (t)", W.partitionBy(*by))
+    if by:
+        whole = strict_sum_over("Total (t)", W.partitionBy(*by))
+    else:
+        cells = settled(cells)
+        whole = cells.agg(strict_sum(F.col("`Total (t)`"))).scalar()
     percent = cells.withColumn("% of total", ratio(F.col("Total (t)"), whole) * 100)
     entry = F.struct(F.col("gear_name").alias("Gear"), F.col("target_fishery").alias("Target fishery"))
     total = F.struct(F.lit("Total (t)").alias("Gear"), F.lit(None).cast("string").alias("Target fishery"))

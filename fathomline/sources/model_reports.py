@@ -73,10 +73,10 @@ def area_estimates(rows: DataFrame, regions: dict[str, list[str]] | None = None)
         F.max(F.when(F.col("name") == name, F.col("value"))).alias(column) for name, column in AREA_BLOCKS.items()
     ]
     wide = rows.filter(F.col("name").isin(list(AREA_BLOCKS))).groupBy("run", "row", "col").agg(*columns)
-    region = F.col("col").cast("string")
-    for run, names in (regions or {}).items():
-        for place, name in enumerate(names, 1):
-            region = F.when((F.col("run") == run) & (F.col("col") == place), F.lit(name)).otherwise(region)
+    named = [(run, place, name) for run, names in (regions or {}).items() for place, name in enumerate(names, 1)]
+    known = rows.sparkSession.createDataFrame(named, "run STRING, col INT, known STRING")
+    wide = wide.join(known, ["run", "col"], "left")
+    region = F.coalesce("known", F.col("col").cast("string"))
     return wide.join(_years(rows), ["run", "row"]).select(
         "run", "year", region.alias("region"), *AREA_BLOCKS.values()
     )
