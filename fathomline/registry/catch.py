@@ -2,7 +2,6 @@
 
 from fathomline.plans import catch as c
 from fathomline.plans import report
-from fathomline.plans.extraction import area_lookup
 from fathomline.plans.labels import COMMON_SPECIES, GEARS
 from fathomline.registry import register
 from fathomline.registry.shared import ALL_AREAS, CATCH_USES, CLEAN_SQL, SPLIT_SQL, atka, cells, clean, proportion
