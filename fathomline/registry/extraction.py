@@ -41,11 +41,18 @@ WHERE common_name IN ('small bolt', 'red widget') OR regexp_matches(common_name,
     uses=("species_lookup",),
 )
 
+
+def _harmonized(t):
+    """All three sources and both lookups come from one table, which is derived once."""
+    t.settle("survey_biomass")
+    return x.survey_harmonize(
+        t["survey_ai_raw"], t["survey_areas"], t["survey_shelf_raw"], t["survey_slope_raw"], t["survey_species"]
+    )
+
+
 register(
     "survey_harmonize",
-    lambda t: x.survey_harmonize(
-        t["survey_ai_raw"], t["survey_areas"], t["survey_shelf_raw"], t["survey_slope_raw"], t["survey_species"]
-    ),
+    _harmonized,
     """
 SELECT s.survey, s.year, s.area_code, s.species_code, round(s.biomass, 6) AS biomass, round(s.var, 3) AS var,
        s.area, n.common_name

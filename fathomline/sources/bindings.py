@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomline.session import settled
+
 # Column types of the parquet files, so that a scan needs no schema job.
 TABLES = {
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
@@ -200,6 +202,10 @@ class Bound:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def settle(self, name: str) -> None:
+        """Derive a binding once where several others are read from it."""
+        self._built[name] = settled(self[name])
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name in BINDINGS:
