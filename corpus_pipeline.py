@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import bpe, decontaminate, lines, simhash, toxicity
+from fathomline.llm import bpe, decontaminate, jaccard, lines, toxicity
 from fathomline.llm.common import Scratch, table
 from fathomline.llm.queries import vocabulary
 
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every group whose 5-word fingerprints link at three or fewer bits."""
-    found = simhash.near_duplicates(docs, words=5, distance=3)
+    """The document of least doc_id of every group whose 5-word shingles link at a similarity of 0.8, or fingerprints at three bits."""
+    found = jaccard.near_duplicates(docs, words=5, similarity=0.8, distance=3)
     later = found.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

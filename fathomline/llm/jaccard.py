@@ -1,0 +1,177 @@
+"""Near-duplicates by the share of common shingles, found by prefixes of the shingles in order of rarity."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fathomline.llm import simhash
+from fathomline.llm.common import Scratch, as_bytes, components, rows_of
+
+SAMPLE = 20_000
+COMMON = 1 << 17
+SLACK = 1e-9
+
+
+def shingled(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, node, shingles) of every row: its fingerprint, and its distinct shingle hashes with a hash of them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows_of(batches, 1 << 21):
+            codes, nodes, sets = [], [], []
+            for text in texts:
+                hashes = simhash.shingle_hashes(text, words)
+                codes.append(simhash.vote(hashes))
+                own = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED))
+                sets.append(own.view(np.int64))
+            columns = [pa.array(ids, pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (codes, nodes))]
+            columns.append(pa.array(sets, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "shingles"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"))
+    return source.mapInArrow(run, "doc_id long, fp long, node long, shingles array<long>")
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met most in a sample of about ``SAMPLE`` distinct sets, in order, with their counts.
+
+    They only decide which shingles count as rare. Any order finds the same pairs; one that puts
+    common shingles last finds them with few candidates.
+    """
+    total = sets.select(F.approx_count_distinct("node").alias("n")).first()["n"] or 1
+    share = max(1, total // SAMPLE)
+    sample = sets.filter(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(share)) == 0)
+    counts = sample.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    counts = counts.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(h, node, n, pos): the shingles of a set of n of which two similar sets share one, and their place.
+
+    Sets A and B of n and m shingles with |A & B| >= s |A | B| have s n or more in common, so the
+    first n - ceil(s n) + 1 of A in any fixed order hold one of them, and so do those of B.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            ends = batch.column("shingles").offsets.to_numpy()
+            values = batch.column("shingles").values.to_numpy()
+            hs, owners, sizes, places = [], [], [], []
+            for k, node in enumerate(nodes.tolist()):
+                own = values[ends[k] : ends[k + 1]]
+                n = len(own)
+                if not n:
+                    continue
+                met = np.ones(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    met = np.where(known[at] == own, often[at], 1)
+                first = own[np.lexsort((own, met))][: n - math.ceil(similarity * n - SLACK) + 1]
+                hs.append(first)
+                places.append(np.arange(len(first)))
+                owners.append(np.full(len(first), node))
+                sizes.append(np.full(len(first), n))
+            if hs:
+                columns = [pa.array(np.concatenate(c).astype(t)) for c, t in ((hs, np.int64), (owners, np.int64), (sizes, np.int32), (places, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "node", "n", "pos"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "h long, node long, n int, pos int").distinct()
+
+
+def _likely(similarity: float):
+    """Whether the sizes and the places of a common shingle leave room for the similarity."""
+    room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    return room * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - SLACK
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of labels, from pairs (node, label, other, other_label) whose sets are similar."""
+    pairs = scratch.keep(pairs.distinct())
+    wanted = pairs.select("node").unionAll(pairs.select("other")).distinct()
+    texts = scratch.keep(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("x")))
+    both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("other"), F.col("x").alias("y")), "other")
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = shared * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - SLACK
+    links = scratch.keep(both.filter(enough).select(F.col("label").alias("a"), F.col("other_label").alias("b")).distinct())
+    scratch.drop(texts)
+    scratch.drop(pairs)
+    return links
+
+
+def _relabelled(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with the least label that the links reach from their label."""
+    roots = components(links, scratch).withColumnRenamed("node", "label")
+    return rows.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+
+
+def links(sets: DataFrame, labels: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Links (a, b) between the labels of all (node, shingles) whose sets are similar; ``labels`` has (node, label).
+
+    Sets that share a prefix shingle are compared with the least and the greatest set of that
+    shingle first, so that a group of near copies falls together after a row for each member and
+    shingle. Then all pairs that share a shingle and still have different labels are compared.
+    """
+    prefix = scratch.keep(prefixes(sets, common_shingles(sets), similarity))
+    counts = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    shared = scratch.keep(prefix.join(counts, "h").join(labels, "node"))
+    scratch.drop(prefix)
+    scratch.release()
+    me = F.struct("node", "n", "pos", "label")
+    hubs = shared.groupBy("h").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min("label").alias("l"), F.max("label").alias("g"))
+    hubs = hubs.filter("l != g").select("h", F.explode(F.array("low", "high")).alias("hub"))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        close = rows.filter((F.col("label") != F.col("other_label")) & _likely(similarity))
+        return close.select("node", "label", "other", "other_label")
+
+    def named(rows: DataFrame, source: str = "") -> DataFrame:
+        columns = (("node", "other"), ("n", "m"), ("pos", "at"), ("label", "other_label"))
+        return rows.select("h", *[F.col(f"{source}{a}").alias(b) for a, b in columns])
+
+    first = _similar(paired(shared.join(named(hubs, "hub."), "h")), sets, similarity, scratch)
+    after = scratch.keep(_relabelled(shared, first, scratch))
+    apart = after.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("g")).filter("l != g").select("h")
+    left = scratch.keep(after.join(apart, "h"))
+    pairs = paired(left.join(named(left), "h").filter("node < other"))
+    return first.unionAll(_similar(pairs, sets, similarity, scratch))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """Near-duplicate groups of (doc_id, text): rows (doc_id, component_id).
+
+    Rows link if the sets of their ``words``-word shingles have a Jaccard similarity of at least
+    ``similarity``, or if their fingerprints differ in at most ``distance`` bits; component_id is the
+    least doc_id reachable. All such pairs are linked: candidates come from prefixes that cannot miss
+    one, and the sets themselves are compared.
+
+    Words and shingles are those of ``simhash``; missing and empty texts link with each other; a
+    repeated row comes back each time; rows without doc_id take part and never name a group;
+    further columns are ignored; no rows give no rows.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.keep(shingled(docs, words))
+    codes = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    near = components(simhash.linked(codes.select("fp"), scratch, distance), scratch).withColumnRenamed("node", "fp")
+    rooted = scratch.keep(codes.join(near, "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root"))
+    of_node = scratch.keep(marked.select("node", "fp").distinct().join(rooted, "fp").select("node", "label").distinct())
+    labels = of_node.groupBy("node").agg(F.min("label").alias("label"))
+    # equal sets whose shingles repeat differently can have fingerprints far apart
+    equal = of_node.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.collect_set("label").alias("all"))
+    equal = equal.filter("a != b").select("a", F.explode("all").alias("b"))
+    found = links(marked.select("node", "shingles"), labels, scratch, similarity).unionAll(equal)
+    groups = scratch.keep(_relabelled(rooted, found, scratch))
+    least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_code = scratch.keep(groups.join(least, "label").select("fp", "component_id"))
+    return marked.select("doc_id", "fp").join(of_code, "fp").select("doc_id", "component_id")

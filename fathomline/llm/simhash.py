@@ -21,32 +21,41 @@ CHUNK = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(data: bytes, words: int = 3) -> int:
-    """64-bit SimHash of a UTF-8 text: a bit is set if over half of the shingle hashes set it.
+def shingle_hashes(data: bytes, words: int = 3) -> np.ndarray:
+    """64-bit hashes of the shingles of a UTF-8 text, in order.
 
     Words are runs without ASCII white space, A-Z in lower case; a text with fewer words
-    than a shingle is one shingle, a text without words has fingerprint zero.
+    than a shingle is one shingle, a text without words has none.
     """
     parts = data.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) < words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(parts) - words + 1].tolist()
     ends = ends[words - 1 :].tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes: a bit is set if over half of them set it; zero for none."""
     total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 16):
-        spans = zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    for at in range(0, len(hashes), 1 << 16):
+        piece = hashes[at : at + (1 << 16)]
         # sums of at most 255 ones fit a byte, which keeps the addition narrow
-        padded = np.zeros((-(-len(hashes) // 255), 255), np.uint64)
-        padded.reshape(-1)[: len(hashes)] = hashes
+        padded = np.zeros((-(-len(piece) // 255), 255), np.uint64)
+        padded.reshape(-1)[: len(piece)] = piece
         bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), 255, 8), axis=2, bitorder="little")
         total += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(data: bytes, words: int = 3) -> int:
+    """64-bit SimHash of a UTF-8 text over its ``words``-word shingles."""
+    return vote(shingle_hashes(data, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

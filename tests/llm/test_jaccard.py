@@ -1,0 +1,82 @@
+"""Groups by shared shingles against a comparison of all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from fathomline.llm import jaccard
+
+from .test_simhash import brute_fingerprint
+
+MADE = random.Random(31)
+
+
+def fresh(n):
+    return [f"v{MADE.randrange(10**9)}" for _ in range(n)]
+
+
+def shingles(text, size=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def share(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute(rows):
+    sets, codes = {i: shingles(t) for i, t in rows}, {i: brute_fingerprint(t, 5) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and (share(sets[a], sets[b]) >= 0.8 or (codes[a] ^ codes[b]).bit_count() <= 3):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def planted(goal, n=400):
+    """Two texts that have ``goal`` of their shingles, or as little more as can be, in common."""
+    kept = next(k for k in range(n) if k / (2 * n - k) >= goal)
+    base = fresh(n + 4)
+    return " ".join(base), " ".join(base[: kept + 4] + fresh(n - kept))
+
+
+@pytest.mark.parametrize("goal", [0.80, 0.85, 0.90, 0.95])
+def test_planted_copies_go(spark, goal):
+    texts = [t for _ in range(6) for t in planted(goal)]
+    assert all(goal <= share(shingles(a), shingles(b)) < goal + 0.01 for a, b in zip(texts[::2], texts[1::2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 12, 2))
+
+
+def test_groups(spark):
+    base = fresh(300)
+    texts = [None, "", "One two", "one TWO", "one three", *planted(0.79), *planted(0.8), " ".join(base), " ".join(base) + " END"]
+    # equal sets whose shingles repeat differently
+    texts += ["a b c d e f g h i j " * 9, "a b c d e f g h i j " * 30 + "a b c d e"]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(MADE.randrange(1, 14)):
+            words[MADE.randrange(300)] = fresh(1)[0]
+        texts.append(" ".join(words))
+    texts += [" ".join(fresh(60) + base[:150]) for _ in range(20)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == brute(rows)
+
+
+def test_order_of_shingles_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    monkeypatch.setattr(jaccard, "SAMPLE", 5)
+    test_groups(spark)
+
+
+def test_repeated_rows_missing_ids_and_no_rows(spark):
+    a, b = planted(0.8)
+    rows = [(4, a), (4, a), (None, b), (9, b), (None, "lonely words here now")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == ["(4, 4)", "(4, 4)", "(9, 4)", "(None, 4)", "(None, None)"]
+    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
