@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,9 +36,21 @@ SUBSTITUTED, DROPPED, REPEATED, DOUBLED, JOINED, PARTED = 1.0, 4.0, 0.5, 4.0, 0.
 SIGNS = re.escape("".join(LEET))
 PIECES = re.compile(rf"[^\W_][\w{SIGNS}{re.escape(JOINTS)}]*|[{SIGNS}][\w{SIGNS}{re.escape(JOINTS)}]+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+REPEATS = re.compile(r"(.)\1*")
 DOTTED = re.compile(rf"(?:[\w{SIGNS}][{re.escape(JOINTS)}]){{2,}}[\w{SIGNS}]")
 TAIL = re.compile(r"[\W_]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
+AROUND = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = re.compile(rf"[^\w{SIGNS}]|_")
+
+
+@lru_cache(maxsize=CACHE)
+def single(run: str) -> str:
+    """The one character of a run within punctuation, a sign only where there is nothing else; or empty."""
+    if len(run) == 1:
+        return run
+    core = AROUND.sub("", run) or MARKS.sub("", run)
+    return core if len(core) == 1 else ""
 
 
 @lru_cache(maxsize=1)
@@ -163,16 +175,27 @@ def symbol(char: str) -> int:
     return int(symbols(char)[0])
 
 
+def letters_of(word: str) -> tuple[str, list[int]]:
+    """A word with each run of a letter written once, and the lengths of these runs."""
+    runs = [m.group() for m in REPEATS.finditer(word)]
+    return "".join(r[0] for r in runs), list(map(len, runs))
+
+
 class Reader(dict):
     """Restored words of white-space separated runs; plain words stand for themselves.
 
     A run is restored where it mixes letters with signs that stand for letters, parts single
     letters by joints, or repeats a letter three times. ``keep`` maps a restored word to what is
-    remembered of it. The memory is emptied at ``CACHE`` runs.
+    remembered of it; of a word that it maps to none, the ``known`` words that become it when letters
+    are repeated are remembered instead. The memory is emptied at ``CACHE`` runs.
     """
 
-    def __init__(self, restorer: Restorer, keep) -> None:
+    def __init__(self, restorer: Restorer, keep, known: Iterable[str] = ()) -> None:
         self.restorer, self.keep = restorer, keep
+        self.known: dict[str, list[tuple[str, list[int]]]] = {}
+        for word in known:
+            shape, lengths = letters_of(word)
+            self.known.setdefault(shape, []).append((word, lengths))
 
     def words(self, run: str) -> list[str]:
         run = run.lower()
@@ -187,8 +210,17 @@ class Reader(dict):
                 out += self.restorer.decode(piece, spaced=bool(DOTTED.fullmatch(piece))).split()
         return out
 
+    def kept(self, word: str) -> list:
+        """What is remembered of a word, or of the known words that it is with letters repeated."""
+        own = self.keep(word)
+        if own is not None or not self.known:
+            return [] if own is None else [own]
+        shape, lengths = letters_of(word)
+        meant = [w for w, least in self.known.get(shape, ()) if all(a <= b for a, b in zip(least, lengths))]
+        return [x for x in map(self.keep, meant) if x is not None]
+
     def __missing__(self, run: str):
-        found = tuple(x for x in map(self.keep, self.words(run)) if x is not None)
+        found = tuple(x for word in self.words(run) for x in self.kept(word))
         if len(self) >= CACHE:
             self.clear()
         self[run] = found
@@ -201,16 +233,17 @@ class Reader(dict):
         for kept in map(self.__getitem__, set(runs)):
             if kept:
                 found.update(kept)
-        single = bytes([len(r) == 1 for r in runs])
-        at = single.find(b"\1\1\1")
+        alone = list(map(single, runs))
+        marks = bytes(map(bool, alone))
+        at = marks.find(b"\1\1\1")
         while at >= 0:
-            end = single.find(b"\0", at)
+            end = marks.find(b"\0", at)
             end = len(runs) if end < 0 else end
-            spread = " ".join(runs[at:end]).lower()
+            spread = " ".join(alone[at:end]).lower()
             if LETTERS.search(spread):
                 words = self.restorer.decode(spread, spaced=True).split()
-                found.update(x for x in map(self.keep, words) if x is not None)
-            at = single.find(b"\1\1\1", end)
+                found.update(x for word in words for x in self.kept(word))
+            at = marks.find(b"\1\1\1", end)
         return found
 
 
@@ -220,11 +253,12 @@ def key_of(word: str) -> int:
 
 @dataclass
 class Model:
-    """Character model, weights of words and intercept."""
+    """Character model, weights of words, intercept and the weighted words themselves."""
 
     cost: np.ndarray
     weights: dict[int, float]
     intercept: float | None
+    words: tuple[str, ...] = ()
 
     def score(self, kept: set) -> float:
         if self.intercept is None:
@@ -233,7 +267,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     def reader(self) -> Reader:
-        return Reader(Restorer(self.cost), lambda w: k if (k := key_of(w)) in self.weights else None)
+        return Reader(Restorer(self.cost), lambda w: k if (k := key_of(w)) in self.weights else None, self.words)
 
 
 def _logistic(hits: list[np.ndarray], labels: np.ndarray, width: int, ridge: float = 0.1) -> np.ndarray:
@@ -273,13 +307,15 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAINI
     sent = spark.sparkContext.broadcast(cost)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Restorer(sent.value), key_of)
+        reader = Reader(Restorer(sent.value), lambda w: (key_of(w), w))
         for texts, marks in rows_of(batches):
             kept = [sorted(reader.of(t.decode("utf-8", "replace"))) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), pa.array(marks, pa.int32())], ["words", "label"])
+            keys, names = ([[x[i] for x in row] for row in kept] for i in (0, 1))
+            columns = [pa.array(keys, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(marks, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["words", "names", "label"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"))
-    seen = with_labels(source, sample).select("text", "label").mapInArrow(run, "words array<long>, label int")
+    seen = with_labels(source, sample).select("text", "label").mapInArrow(run, "words array<long>, names array<string>, label int")
     seen = scratch.keep(seen)
     total = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).first()
     n, t = total["n"], total["t"] or 0
@@ -300,7 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAINI
     hits = seen.select("label", F.array_intersect("words", F.array(*[F.lit(c) for c in chosen])).alias("hits")).collect()
     place = {c: i for i, c in enumerate(chosen)}
     w = _logistic([np.array([place[x] for x in r["hits"]], np.int64) for r in hits], np.array([r["label"] for r in hits]), len(chosen))
-    return Model(cost, dict(zip(chosen, w[:-1].tolist())), float(w[-1]))
+    named = seen.select(F.inline(F.arrays_zip("words", "names"))).filter(F.col("words").isin(chosen)).groupBy("words")
+    names = named.agg(F.min("names").alias("name")).collect()
+    return Model(cost, dict(zip(chosen, w[:-1].tolist())), float(w[-1]), tuple(sorted(r["name"] for r in names)))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -141,3 +141,14 @@ def test_nothing_to_learn_from(spark, tables):
     assert {r.score for r in toxicity.scores(docs, blank).collect()} == {0.0}
     none = docs.limit(0)
     assert toxicity.scores(none, toxicity.fit(none, labels, Scratch(spark))).count() == 0
+
+
+def test_disguises_at_punctuation_and_doubled_letters(spark, tables, model):
+    seen = ["so i d i o t.", '"i d i o t"', "(m 0 r 0 n)", "you i d i o t!", "c l o w n, the", "iddiot", "idioott you", '"mmoron."', "worthhless", "clloown"]
+    fine = ["the tion. a b", "better wor", "idot", "cllan", "so a. b. c."]
+    docs = spark.createDataFrame(list(enumerate(f"{prose(20)} {t}" for t in seen + fine)), "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.scores(docs, model).collect()}
+    assert [got[k] for k in range(len(got))] == [1] * len(seen) + [0] * len(fine)
+    left = toxicity.reject(docs, model).collect()
+    assert sorted(r.doc_id for r in left) == list(range(len(seen), len(seen) + len(fine)))
+    assert "worthless" in toxicity.Reader(toxicity.Restorer(model.cost), lambda w: w).of("worthless")
