@@ -48,6 +48,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+MISSING = -(1 << 63)
+
+
+def with_document_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a long ``_key`` that names the document of each row, in the order of doc_id.
+
+    Rows are one document if they have the same doc_id, or both none, and the same text. Where an id
+    stands for one text only, it is its own key, and a missing one is the smallest. Where rows without id
+    or rows of one id differ in text, all documents are numbered by id and a hash of the text.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
+    named = docs.drop("_key", "_tag").withColumn("_key", own)
+    tagged = named.withColumn("_tag", F.xxhash64(F.col("text").isNull(), "text"))
+    span = tagged.groupBy("_key").agg(F.min("_tag").alias("low"), F.max("_tag").alias("high"))
+    if span.filter("low != high").isEmpty():
+        return named
+    known = tagged.select("_key", "_tag").distinct().repartitionByRange("_key", "_tag").sortWithinPartitions("_key", "_tag")
+    numbers = scratch.keep(known.withColumn("_number", F.monotonically_increasing_id()))
+    keyed = tagged.join(numbers, ["_key", "_tag"]).withColumn("_key", F.col("_number"))
+    return scratch.keep(keyed.select(*[f"`{c}`" for c in named.columns]))
+
+
 def as_bytes(text: Column | str = "text") -> Column:
     """UTF-8 bytes of a text, empty for a missing one; Python tasks get them undecoded."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

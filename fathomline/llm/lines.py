@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch
+from fathomline.llm.common import Scratch, with_document_key
 
 NEAR_FROM = 20
 BLOCK = 256
-MISSING = -(1 << 63)
 BLANKS = " \t\r"
 
 
@@ -115,12 +114,13 @@ def remove_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     lines that have a partner and to the final cut.
 
     A missing text stays missing and has no lines; a text of removed lines only becomes empty; a
-    missing doc_id is the smallest; rows that repeat a doc_id are one document and each comes back
-    with the same result; no rows give no rows.
+    missing doc_id is the smallest; rows of equal doc_id and text are one document and each comes back
+    with the same result; rows without doc_id or of one doc_id that differ in text are documents of
+    their own, in the order of a hash of the text; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING))
-    source = docs.select(key.alias("doc_id"), "text")
+    keyed = with_document_key(docs, scratch)
+    source = keyed.select(F.col("_key").alias("doc_id"), "text")
     split = source.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     split = split.filter(F.btrim("line", F.lit(BLANKS)) != "")
     size = F.length("line")
@@ -149,7 +149,7 @@ def remove_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     nearly = lines.select("h1", "h2", "pos").join(near, ["h1", "h2"]).select("pos")
     gone = again.unionAll(nearly).groupBy("pos.doc_id").agg(F.collect_set("pos.line_no").alias("_gone"))
 
-    named = docs.drop("n_lines", "n_removed", "_gone", "_lines", "_key").withColumn("_key", key)
+    named = keyed.drop("n_lines", "n_removed", "_gone", "_lines")
     joined = named.join(gone.withColumnRenamed("doc_id", "_key").hint("shuffle_hash"), "_key", "left")
     cut = joined.withColumn("_lines", F.split("text", "\n", -1))
     left = F.transform(
@@ -163,7 +163,7 @@ def remove_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_gone", "_lines", "_key")]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_gone", "_lines", "_key", "_tag")]
     return cut.select(*[f"`{c}`" for c in names], "n_lines", "n_removed")
 
 

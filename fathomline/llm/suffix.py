@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, as_bytes, rows_of
+from fathomline.llm.common import Scratch, as_bytes, rows_of, with_document_key
 
 LENGTH = 100
 SEED_BYTES = 20
 PIECE = 1 << 20
 TEXTS = 1 << 20
 HOT = 20_000
-MISSING = -(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -452,14 +451,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n_bytes, spans, kept): the removed runs as structs (first, end) and what is left, as bytes.
 
     A missing text counts as empty; texts shorter than ``length`` stay whole; a missing doc_id is
-    the smallest; rows that repeat a doc_id are one document (the same text) and each comes back
-    with the same result; further columns are ignored; no rows give no rows.
+    the smallest; rows of equal doc_id and text are one document and each comes back with the same
+    result; rows without doc_id or of one doc_id that differ in text are documents of their own, in
+    the order of a hash of the text; further columns are ignored; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("doc_id"), as_bytes().alias("text"))
-    marks = repeats(source, scratch, length)
+    keyed = with_document_key(docs, scratch)
+    source = keyed.select(F.col("_key").alias("doc_id"), F.col("doc_id").cast("long").alias("id"), as_bytes().alias("text"))
+    marks = repeats(source.select("doc_id", "text"), scratch, length)
     lists = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    joined = source.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
+    joined = source.join(lists.hint("shuffle_hash"), "doc_id", "left").select("id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, found in rows_of(batches):
@@ -474,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 left.append(text[at:])
                 kept.append(b"".join(left))
             pair = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            columns = [pa.array([None if i == MISSING else i for i in ids], pa.int64()), pa.array(list(map(len, texts)), pa.int64())]
+            columns = [pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64())]
             columns += [pa.array(spans, pair), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
 

@@ -84,6 +84,26 @@ def test_repeated_rows_and_missing_ids(spark):
     assert left == [(-1, len(text.encode())), (5, 0), (5, 0), (7, 0)]
 
 
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    shared = words(60)
+    texts = [(None, words(70) + shared), (None, shared + words(90)), (None, words(120)), (4, words(80)), (4, words(30) + shared), (4, words(90))]
+    rows = texts + [texts[1], (2, "short"), (None, None)]
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+
+    def kept(order):
+        known = brute([(k, texts[i][1]) for k, i in enumerate(order)])
+        return {i: known[k][3] for k, i in enumerate(order)}
+
+    ways = []
+    for order in ([0, 1, 2, 3, 4, 5], [1, 0, 2, 3, 4, 5]):
+        digests = kept(order)
+        own = [(texts[i][0], len(texts[i][1].encode()), digests[i]) for i in [*range(6), 1]]
+        own += [(2, 5, hashlib.sha256(b"short").hexdigest()), (None, 0, hashlib.sha256(b"").hexdigest())]
+        ways.append(sorted(own, key=str))
+    # which of the texts without id comes first is a matter of their hashes
+    assert sorted(((i, n, hashlib.sha256(k).hexdigest()) for i, n, k in got), key=str) in ways
+
+
 def test_no_rows(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
