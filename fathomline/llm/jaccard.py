@@ -123,8 +123,12 @@ def links(sets: DataFrame, labels: DataFrame, scratch: Scratch, similarity: floa
     shingle first, so that a group of near copies falls together after a row for each member and
     shingle. Then all pairs that share a shingle and still have different labels are compared.
     """
-    prefix = scratch.keep(prefixes(sets, common_shingles(sets), similarity))
-    counts = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    common = common_shingles(sets)
+    scratch.release()
+    prefix = scratch.keep(prefixes(sets, common, similarity))
+    scratch.release()
+    counts = scratch.keep(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h"))
+    scratch.release()
     shared = scratch.keep(prefix.join(counts, "h").join(labels, "node"))
     scratch.drop(prefix)
     scratch.release()
