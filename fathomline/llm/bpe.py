@@ -6,7 +6,9 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -23,13 +25,18 @@ from fathomline.session import ship_package
 # The word pattern of the vocabulary file and the controls that
 # Python, but not Unicode, counts as white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 CONTROLS = regex.compile("[\x1c-\x1f]")
 RUNS = regex.compile(r"(?:[\x1c-\x1f]|\S)+")
 
 SHORT = 256
-CACHE = 200_000
+CACHE = 1 << 26
 PIECE = 1 << 20
 NONE = 1 << 60
+BITS = 20
+LOW = (1 << BITS) - 1
+# what a remembered entry takes beside its letters and ids
+ENTRY = 200
 
 
 def byte_names() -> list[str]:
@@ -39,12 +46,86 @@ def byte_names() -> list[str]:
     return [chr(b) if b in printable else next(others) for b in range(256)]
 
 
+def merge(parts: list[int], merges: dict[int, int]) -> list[int]:
+    """Merge the adjacent pair of least rank, leftmost first, until no pair has a rank.
+
+    ``merges`` has, under the packed pair, the packed rank and new id. ``ranks[i]`` belongs to the
+    boundary between parts i and i+1; a merge deletes one boundary and only its two neighbours change.
+    """
+    get = merges.get
+    ranks = [get(a << BITS | b, NONE) for a, b in pairwise(parts)]
+    while ranks:
+        least = min(ranks)
+        if least == NONE:
+            break
+        i = ranks.index(least)
+        parts[i : i + 2] = [least & LOW]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = get(parts[i - 1] << BITS | parts[i], NONE)
+        if i < len(ranks):
+            ranks[i] = get(parts[i] << BITS | parts[i + 1], NONE)
+    return parts
+
+
+def merge_long(parts: list[int], merges: dict[int, int]) -> list[int]:
+    """The same merges for a long word, where scanning all boundaries each time would be quadratic."""
+    after = list(range(1, len(parts))) + [-1]
+    before = list(range(-1, len(parts) - 1))
+    pairs = (a << BITS | b for a, b in pairwise(parts))
+    queue = [(merges[p], i, p) for i, p in enumerate(pairs) if p in merges]
+    heapq.heapify(queue)
+    alive: list[int | None] = list(parts)
+    while queue:
+        least, i, pair = heapq.heappop(queue)
+        j = after[i] if alive[i] == pair >> BITS else -1
+        if j < 0 or alive[j] != pair & LOW:
+            continue
+        alive[i], alive[j] = least & LOW, None
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right >= 0 and (pair := alive[left] << BITS | alive[right]) in merges:
+                heapq.heappush(queue, (merges[pair], left, pair))
+    return [p for p in alive if p is not None]
+
+
+def packed_merges(model: dict) -> dict[int, int]:
+    """Merges of a vocabulary file: packed pair of ids to packed rank and new id."""
+    ids = model["vocab"]
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    return {ids[a] << BITS | ids[b]: rank << BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+
+
+class Words(dict):
+    """Packed ids of the words met before; emptied when they reach ``CACHE`` bytes."""
+
+    def __init__(self, inner: list[int], last: list[int], merges: dict[int, int]) -> None:
+        self.inner, self.last, self.merges = inner, last, merges
+        self.size = 0
+
+    def __missing__(self, word: str) -> bytes:
+        data = word.encode("utf-8")
+        inner = self.inner
+        parts = [inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        parts = (merge if len(parts) <= SHORT else merge_long)(parts, self.merges)
+        packed = array("I", parts).tobytes()
+        self.size += len(data) + len(packed) + ENTRY
+        if self.size > CACHE:
+            self.clear()
+            self.size = len(data) + len(packed) + ENTRY
+        self[word] = packed
+        return packed
+
+
 class Coder(dict):
     """Token ids of white-space separated runs, kept as packed bytes for runs met before.
 
     A run is normalised (composed, lower case letter by letter), cut into words, and each
-    word is merged on its own, so that equal runs give equal ids wherever they stand. The
-    memory is emptied at ``CACHE`` runs.
+    word is merged on its own, so that equal words give equal ids wherever they stand. Runs and
+    words are remembered apart: few words make up many runs. Either memory is emptied at ``CACHE`` bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,75 +136,25 @@ class Coder(dict):
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
-        self.merges = {
-            (self.ids[a], self.ids[b]): (rank, self.ids[a + b])
-            for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        }
+        self.merges = packed_merges(model)
         names = byte_names()
         self.inner = [self.ids[n] for n in names]
         self.last = [self.ids[n + self.end] for n in names]
+        self.words = Words(self.inner, self.last, self.merges)
+        self.size = 0
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def word(self, data: bytes) -> list[int]:
-        """Ids of one word."""
-        parts = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return self.merge(parts) if len(parts) <= SHORT else self.merge_long(parts)
-
-    def merge(self, parts: list[int]) -> list[int]:
-        """Merge the adjacent pair of least rank, leftmost first, until no pair has a rank.
-
-        ``ranks[i]`` belongs to the boundary between parts i and i+1; a merge deletes one
-        boundary and only its two neighbours change.
-        """
-        merges = self.merges
-        none = (NONE, -1)
-        ranks = [merges.get(pair, none) for pair in pairwise(parts)]
-        while ranks:
-            least = min(ranks)
-            if least is none:
-                break
-            i = ranks.index(least)
-            parts[i : i + 2] = [least[1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = merges.get((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = merges.get((parts[i], parts[i + 1]), none)
-        return parts
-
-    def merge_long(self, parts: list[int]) -> list[int]:
-        """The same merges for a long word, where scanning all boundaries each time would be quadratic."""
-        after = list(range(1, len(parts))) + [-1]
-        before = list(range(-1, len(parts) - 1))
-        queue = [(*self.merges[p], i, *p) for i, p in enumerate(pairwise(parts)) if p in self.merges]
-        queue = [(rank, i, new, a, b) for rank, new, i, a, b in queue]
-        heapq.heapify(queue)
-        alive: list[int | None] = list(parts)
-        while queue:
-            _, i, new, a, b = heapq.heappop(queue)
-            j = after[i] if alive[i] == a else -1
-            if j < 0 or alive[j] != b:
-                continue
-            alive[i], alive[j] = new, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (pair := (alive[left], alive[right])) in self.merges:
-                    rank, made = self.merges[pair]
-                    heapq.heappush(queue, (rank, left, made, *pair))
-        return [p for p in alive if p is not None]
-
     def __missing__(self, run: str) -> bytes:
-        text = unicodedata.normalize("NFC", run)
-        # letter by letter: a final sigma is not treated apart
-        text = text.replace("Σ", "σ").lower()
-        found: list[int] = []
-        for word in WORDS.findall(text):
-            found += self.word(word.encode("utf-8"))
-        packed = np.array(found, "<u4").tobytes()
-        if len(self) >= CACHE:
+        if run.isascii():
+            found = ASCII_WORDS.findall(run.lower())
+        else:
+            # letter by letter: a final sigma is not treated apart
+            found = WORDS.findall(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
+        packed = self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+        self.size += len(run) + len(packed) + ENTRY
+        if self.size > CACHE:
             self.clear()
+            self.size = len(run) + len(packed) + ENTRY
         self[run] = packed
         return packed
 
