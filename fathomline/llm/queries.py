@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, caps, decontaminate, lines, quality, secrets, shards, simhash, suffix, toxicity
+from fathomline.llm import bpe, caps, centroids, counts, decontaminate, lines, quality, secrets, shards, simhash, suffix, toxicity, trie
 from fathomline.llm.common import Scratch, table
 
 
@@ -39,13 +39,13 @@ def op4_suffix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vocabulary() -> str:
-    """Path of the public word vocabulary; WORD_BPE_FILE overrides the installed file."""
-    if "WORD_BPE_FILE" in os.environ:
-        return os.environ["WORD_BPE_FILE"]
+def vocabulary(file: str = "word_bpe_49k.json", setting: str = "WORD_BPE_FILE") -> str:
+    """Path of a public vocabulary file; the environment setting overrides the installed one."""
+    if setting in os.environ:
+        return os.environ[setting]
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(file)
 
 
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +82,21 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, folder, "labels"), Scratch(spark)))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every text by the byte-level vocabulary, and whether they are over 512."""
+    return counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json", "BYTE_BPE_FILE"))
+
+
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations, with counts per node."""
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors in 40 clusters after five rounds in whole numbers."""
+    return centroids.cluster(table(spark, folder, "embeddings"), k=40, rounds=5, dims=64)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -93,7 +108,15 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_counts": op11_token_counts,
+    "op12_trie": op12_trie,
+    "op13_centroids": op13_centroids,
 }
 
 #: SQL for the queries that SQL can express on whole tables; the others are tested by brute force.
-SQL: dict[str, str] = {"op8_lines": lines.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op8_lines": lines.SQL,
+    "op10_decontaminate": decontaminate.SQL,
+    "op12_trie": trie.SQL,
+    "op13_centroids": centroids.SQL,
+}
