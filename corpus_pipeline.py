@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import bpe, decontaminate, jaccard, lines, toxicity
+from fathomline.llm import bpe, decontaminate, lines, simhash, toxicity
 from fathomline.llm.common import Scratch, table
 from fathomline.llm.queries import vocabulary
 
 
+def named(docs: DataFrame) -> list[str]:
+    """The columns of ``docs``, whatever signs their names have."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject; the model is fitted on what comes in."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark))
@@ -22,20 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand, but for one edit, at an earlier place."""
-    return lines.remove_lines(docs).select(*[f"`{c}`" for c in docs.columns])
+    return lines.remove_lines(docs).select(*named(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every group whose 5-word shingles link at a similarity of 0.8, or fingerprints at three bits."""
-    found = jaccard.near_duplicates(docs, words=5, similarity=0.8, distance=3)
+    """The document of least doc_id of every group whose fingerprints of 3-word shingles link at two or fewer bits."""
+    found = simhash.near_duplicates(docs, words=3, distance=2)
     later = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(later, "doc_id", "left_anti").select(*named(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*named(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
