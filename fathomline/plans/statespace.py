@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,9 @@ from fathomline.plans.labels import Z_EXACT, Z_ROUNDED
 from fathomline.session import ship_package
 
 LOG_SIGMA_BOUNDS = (-5.0, 2.0)
+# an extra observation cv lies between nearly nothing and 1.5
+LOG_TAU_BOUNDS = (-7.0, math.log(1.5))
+TAU_STARTS = (-2.5, -1.0)
 LOG_2PI = math.log(2 * math.pi)
 # fixed value: the cv that an observation without one counts with (log-scale variance ln 82)
 MISSING_CV = 9.0
@@ -97,9 +101,25 @@ def with_index(grid: DataFrame, index: DataFrame, species: str, region: str) ->
     return grid.join(points, ["species", "region", "year"], "left")
 
 
+def with_extra_error(grid: DataFrame, biomass: bool = False, cpue: bool = False) -> DataFrame:
+    """Ask for an extra observation cv, one for all biomass or for the index, to be estimated with the model."""
+    return grid.withColumns({"extra_biomass": F.lit(biomass), "extra_cpue": F.lit(cpue)})
+
+
+def with_process_errors(grid: DataFrame, groups: Mapping[str, int]) -> DataFrame:
+    """Give regions process errors of their own: regions of one number share one, others have number 1."""
+    number = F.lit(1)
+    for region, group in groups.items():
+        number = F.when(F.col("region") == region, group).otherwise(number)
+    return grid.withColumn("process", number)
+
+
 # --- numerics of one stock -------------------------------------------------
 class _Stock:
-    """Observations of one stock as years by regions, with its likelihood."""
+    """Observations of one stock as years by regions, with its likelihood.
+
+    A variance on the log scale is ln(cv^2 + tau^2 + 1); the extra cv tau is 0 unless it is a parameter.
+    """
 
     def __init__(self, pdf: pd.DataFrame, is_se: bool, missing_cv: float | None = MISSING_CV):
         self.missing_cv = missing_cv
@@ -109,17 +129,20 @@ class _Stock:
         row = (pdf["year"] - self.years[0]).to_numpy(int)
         column = pdf["region"].map({r: i for i, r in enumerate(self.regions)}).to_numpy(int)
         shape = (len(self.years), len(self.regions))
-        self.weight, self.y, self.constant = self._observations(pdf, "biomass", "cv", row, column, shape, is_se)
-        self.index_weight = np.zeros(shape)
-        self.index_y = np.zeros(shape)
-        self.has_index = False
+        self.square, self.y = self._observations(pdf, "biomass", "cv", row, column, shape, is_se)
+        self.index_square, self.index_y = np.full(shape, np.nan), np.zeros(shape)
         if "cpue" in pdf and pdf["cpue"].notna().any():
-            self.index_weight, self.index_y, more = self._observations(
-                pdf, "cpue", "cpue_cv", row, column, shape, False
-            )
-            self.constant += more
-            self.has_index = bool((self.index_weight > 0).any())
-        self.precision = self.weight + self.index_weight
+            self.index_square, self.index_y = self._observations(pdf, "cpue", "cpue_cv", row, column, shape, False)
+        self.has_index = bool(np.isfinite(self.index_square).any())
+        self.weight, constant = self._weights(self.square)
+        self.index_weight, more = self._weights(self.index_square)
+        self.constant = constant + more
+        self.process = np.zeros(len(self.regions), int)
+        if "process" in pdf and pdf["process"].notna().any():
+            numbers = pdf.groupby("region")["process"].max().reindex(self.regions).fillna(1)
+            self.process = np.unique(numbers.to_numpy(int), return_inverse=True)[1]
+        self.extra_biomass = "extra_biomass" in pdf and bool(pdf["extra_biomass"].fillna(False).any())
+        self.extra_cpue = self.has_index and "extra_cpue" in pdf and bool(pdf["extra_cpue"].fillna(False).any())
 
     def _observations(self, pdf, value, error, row, column, shape, is_se):
         amount = pdf[value].to_numpy(float)
@@ -132,24 +155,38 @@ class _Stock:
         if self.missing_cv is not None:
             cv = np.where(present, cv, self.missing_cv)
             present = np.ones_like(present)
-        variance = np.where(seen & present, np.log(np.square(cv) + 1), 1.0)
         self.unused += int((seen & ~present).sum())
         seen &= present
         self.used += int(seen.sum())
-        weight, y = np.zeros(shape), np.zeros(shape)
-        weight[row[seen], column[seen]] = 1 / variance[seen]
+        square, y = np.full(shape, np.nan), np.zeros(shape)
+        square[row[seen], column[seen]] = np.square(cv[seen])
         y[row[seen], column[seen]] = np.log(safe[seen])
-        return weight, y, 0.5 * float(np.sum(LOG_2PI + np.log(variance[seen])))
-
-    def solve(self, log_sigma: float, log_q: float = 0.0):
-        """States, their variances and the negative log likelihood at given parameters."""
-        n, regions = self.precision.shape
-        link = math.exp(-2 * log_sigma)
-        diagonal = self.precision + link * np.array(
-            [(t > 0) + (t < n - 1) for t in range(n)], dtype=float
-        ).reshape(-1, 1)
+        return square, y
+
+    @staticmethod
+    def _weights(square: np.ndarray, tau: float = 0.0) -> tuple[np.ndarray, float]:
+        """Reciprocal variances, 0 where nothing was seen, and what they add to the likelihood."""
+        seen = np.isfinite(square)
+        variance = np.log(np.where(seen, square, 1.0) + tau * tau + 1)
+        return np.where(seen, 1 / variance, 0.0), 0.5 * float(np.sum(LOG_2PI + np.log(variance[seen])))
+
+    def solve(self, log_sigma, log_q: float = 0.0, log_tau: float | None = None, log_tau_index: float | None = None):
+        """States, their variances and the negative log likelihood at given parameters.
+
+        ``log_sigma`` is one number, or one per region.
+        """
+        weight, index_weight, constant = self.weight, self.index_weight, self.constant
+        if log_tau is not None or log_tau_index is not None:
+            weight, constant = self._weights(self.square, 0.0 if log_tau is None else math.exp(log_tau))
+            index_weight, more = self._weights(self.index_square, 0.0 if log_tau_index is None else math.exp(log_tau_index))
+            constant += more
+        n, regions = weight.shape
+        log_sigma = np.broadcast_to(np.asarray(log_sigma, float), regions)
+        link = np.exp(-2 * log_sigma)
+        ends = np.array([(t > 0) + (t < n - 1) for t in range(n)], dtype=float).reshape(-1, 1)
+        diagonal = weight + index_weight + link * ends
         index = self.index_y - log_q
-        b = self.weight * self.y + self.index_weight * index
+        b = weight * self.y + index_weight * index
         pivot, forward = np.empty_like(diagonal), np.empty_like(diagonal)
         pivot[0], forward[0] = diagonal[0], b[0]
         for t in range(1, n):
@@ -162,10 +199,10 @@ class _Stock:
             factor = link / pivot[t]
             state[t] = forward[t] / pivot[t] + factor * state[t + 1]
             variance[t] = 1 / pivot[t] + factor * factor * variance[t + 1]
-        squares = np.sum(self.weight * self.y**2) + np.sum(self.index_weight * index**2)
+        squares = np.sum(weight * self.y**2) + np.sum(index_weight * index**2)
         nll = (
-            0.5 * regions * (n - 1) * (LOG_2PI + 2 * log_sigma)
-            + self.constant
+            0.5 * (n - 1) * float(np.sum(LOG_2PI + 2 * log_sigma))
+            + constant
             + 0.5 * (squares - np.sum(b * state) + np.sum(np.log(pivot)))
             - 0.5 * regions * n * LOG_2PI
         )
@@ -180,8 +217,28 @@ class _Stock:
         low, mid, high = (self.solve(log_sigma, middle + d)[2] for d in (-1.0, 0.0, 1.0))
         return middle + 0.5 * (low - high) / (low - 2 * mid + high)
 
+    def at(self, theta):
+        """``solve`` at a vector: process errors, ln q, extra cv of the biomass, extra cv of the index."""
+        k = int(self.process.max()) + 1
+        more = list(theta[k:])
+        log_q = more.pop(0) if self.has_index else 0.0
+        log_tau = more.pop(0) if self.extra_biomass else None
+        return self.solve(np.asarray(theta)[self.process], log_q, log_tau, more.pop(0) if self.extra_cpue else None)
+
     def nll(self, theta) -> float:
-        return self.solve(*theta)[2]
+        return self.at(theta)[2]
+
+    def parameters(self) -> list[tuple[str, float, float]]:
+        """Name and bounds of each parameter, in the order of ``at``."""
+        k = int(self.process.max()) + 1
+        found = [("process_error" if k == 1 else f"process_error_{i + 1}", *LOG_SIGMA_BOUNDS) for i in range(k)]
+        if self.has_index:
+            found.append(("scaling_parameter_q", -np.inf, np.inf))
+        if self.extra_biomass:
+            found.append(("extra_biomass_cv", *LOG_TAU_BOUNDS))
+        if self.extra_cpue:
+            found.append(("extra_cpue_cv", *LOG_TAU_BOUNDS))
+        return found
 
 
 def _minimise(profile, low: float, high: float) -> float:
@@ -257,36 +314,95 @@ def _newton(f, theta, low: float, high: float):
     return theta, NEWTON_STEPS, "steps"
 
 
+def _bounded(f, theta: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Newton steps between bounds: (theta, steps, why it stopped).
+
+    A parameter at a bound that the slope pushes against it is held there; the Hessian of the others is
+    made convex where it is not; steps are clipped to the bounds and halved until they lower ``f`` enough.
+    """
+    theta = np.clip(theta, low, high)
+    value = f(theta)
+    for steps in range(4 * NEWTON_STEPS):
+        gradient, hessian = _gradient(f, theta), _hessian(f, theta)
+        held = ((theta <= low) & (gradient > 0)) | ((theta >= high) & (gradient < 0))
+        free = np.flatnonzero(~held)
+        if not len(free) or np.max(np.abs(gradient[free])) < 10 * NEWTON_GRADIENT:
+            return theta, steps, "at bound" if held.any() else "gradient"
+        values, vectors = np.linalg.eigh(hessian[np.ix_(free, free)])
+        slope = vectors.T @ gradient[free]
+        step = np.zeros(len(theta))
+        step[free] = -vectors @ (slope / np.maximum(np.abs(values), 1e-3))
+        step *= min(1.0, 1.0 / np.max(np.abs(step)))
+        while True:
+            there = np.clip(theta + step, low, high)
+            lower = f(there)
+            if lower <= value + 1e-4 * float(gradient @ (there - theta)) or np.max(np.abs(step)) < 1e-10:
+                break
+            step /= 2
+        if np.max(np.abs(step)) < 1e-10:
+            return theta, steps, "at bound" if held.any() else "no lower value"
+        theta, value = there, lower
+    return theta, 4 * NEWTON_STEPS, "steps"
+
+
+def _best(stock: _Stock):
+    """The parameters of least negative log likelihood: (theta, steps, why it stopped)."""
+    low, high = LOG_SIGMA_BOUNDS
+    log_sigma = _minimise(lambda s: stock.solve(s, stock.best_log_q(s))[2], low, high)
+    known = stock.parameters()
+    start = [log_sigma] * (int(stock.process.max()) + 1)
+    if stock.has_index:
+        start.append(stock.best_log_q(log_sigma))
+    extra = len(known) - len(start)
+    if not extra and stock.process.max() == 0:
+        return _newton(stock.nll, np.array(start), low, high)
+    lows, highs = (np.array([p[i] for p in known]) for i in (1, 2))
+    # variances that depend on parameters can have more than one valley
+    found = [_bounded(stock.nll, np.array([*start, *taus]), lows, highs) for taus in product(TAU_STARTS, repeat=extra)]
+    theta, steps, stop = min(found, key=lambda x: stock.nll(x[0]))
+    return theta, steps, stop
+
+
 def fit_stock(pdf: pd.DataFrame, is_se: bool = False, missing_cv: float | None = MISSING_CV) -> dict:
     """Fit one stock: parameters, states with intervals, and convergence numbers.
 
     A positive amount with a zero or missing cv counts with ``missing_cv``; with None it is
-    left out and counted as unused.
+    left out and counted as unused. Extra observation errors and several process errors are asked for
+    by the columns of ``with_extra_error`` and ``with_process_errors``; all parameters are then fitted together
+    between their bounds. A fit with a parameter at its bound, or with an extra error whose interval
+    reaches one, says so as its reason to stop: it has not converged.
     """
     stock = _Stock(pdf, is_se, missing_cv)
-    low, high = LOG_SIGMA_BOUNDS
-    log_sigma = _minimise(lambda s: stock.solve(s, stock.best_log_q(s))[2], low, high)
-    names = ["process_error"]
-    theta = np.array([log_sigma])
-    if stock.has_index:
-        names.append("scaling_parameter_q")
-        theta = np.array([log_sigma, stock.best_log_q(log_sigma)])
-    theta, steps, stop = _newton(stock.nll, theta, low, high)
-    gradient = _gradient(stock.nll, theta)
+    known = stock.parameters()
+    names = [p[0] for p in known]
+    theta, steps, stop = _best(stock)
+    lows, highs = (np.array([p[i] for p in known]) for i in (1, 2))
+    free = (theta > lows) & (theta < highs)
+    gradient = _gradient(stock.nll, theta)[free]
     hessian = _hessian(stock.nll, theta)
     determinant = np.linalg.det(hessian)
-    covariance = (
-        np.linalg.inv(hessian) if determinant > 0 else np.full(hessian.shape, np.nan)
-    )
+    covariance = np.full(hessian.shape, np.nan)
+    inner = np.ix_(free, free)
+    if free.any() and np.linalg.det(hessian[inner]) > 0:
+        covariance[~free] = covariance[:, ~free] = 0.0
+        covariance[inner] = np.linalg.inv(hessian[inner])
 
-    state, variance, nll = stock.solve(*theta)
+    state, variance, nll = stock.at(theta)
     slopes = []
     for i in range(len(theta)):
         d = np.zeros(len(theta))
         d[i] = 1e-4
-        slopes.append((stock.solve(*(theta + d))[0] - stock.solve(*(theta - d))[0]) / 2e-4)
+        slopes.append((stock.at(theta + d)[0] - stock.at(theta - d)[0]) / 2e-4)
     slopes = np.stack(slopes)
     sd = np.sqrt(variance + np.einsum("itr,ij,jtr->tr", slopes, covariance, slopes))
+    errors = np.sqrt(np.where(np.diag(covariance) > 0, np.diag(covariance), np.nan))
+    if not free.all():
+        stop, determinant = "at bound", -1.0
+    elif any(
+        name.startswith("extra") and not (low < t - Z_ROUNDED * e and t + Z_ROUNDED * e < high)
+        for name, t, e, low, high in zip(names, theta, errors, lows, highs)
+    ):
+        stop = "interval at bound"
     states = [
         {
             "region": region,
@@ -300,10 +416,9 @@ def fit_stock(pdf: pd.DataFrame, is_se: bool = False, missing_cv: float | None =
         for r, region in enumerate(stock.regions)
         for t, year in enumerate(stock.years)
     ]
-    errors = np.sqrt(np.where(np.diag(covariance) > 0, np.diag(covariance), np.nan))
     return {
         "nll": nll,
-        "mgc": float(np.max(np.abs(gradient))),
+        "mgc": float(np.max(np.abs(gradient), initial=0.0)),
         "log_det_hess": _number(math.log(determinant)) if determinant > 0 else None,
         "n_par": len(theta),
         "n_used": stock.used,
@@ -386,7 +501,9 @@ def fit_diagnostics(fit: DataFrame) -> DataFrame:
         "n_unused",
         "steps",
         "stop",
-        ((F.col("mgc") < 0.001) & (F.coalesce("log_det_hess", F.lit(-1.0)) > 0)).alias("converged"),
+        (
+            (F.col("mgc") < 0.001) & (F.coalesce("log_det_hess", F.lit(-1.0)) > 0) & ~F.col("stop").endswith("at bound")
+        ).alias("converged"),
     )
 
 

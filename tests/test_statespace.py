@@ -134,3 +134,110 @@ def test_an_observation_without_cv_counts_by_rule():
 def test_newton_reports_why_it_stopped():
     fit = m.fit_stock(frame([x for x in golden.SURVEY if x[1] <= 2020], 1982, 2020))
     assert fit["stop"] in ("gradient", "no lower value") and fit["mgc"] < 1e-5 and fit["steps"] < 50
+
+
+def five_models():
+    """The stock with and without the index, and with extra observation errors."""
+    own = frame(golden.SURVEY, 1991, 2023)
+    index = {y: (c, v) for y, c, v in golden.INDEX}
+    seen = [index.get(y, (np.nan, np.nan)) if r == "EBS Slope" else (np.nan, np.nan) for r, y in zip(own["region"], own["year"])]
+    both = own.assign(cpue=[x[0] for x in seen], cpue_cv=[x[1] for x in seen])
+    return {
+        "Model 20": own,
+        "Model 22": both,
+        "Model 22.2.a": both.assign(extra_biomass=True),
+        "Model 22.2.b": both.assign(extra_cpue=True),
+        "Model 22.2.c": both.assign(extra_biomass=True, extra_cpue=True),
+    }
+
+
+def test_extra_observation_errors_converge_as_published():
+    fits = {name: m.fit_stock(pdf) for name, pdf in five_models().items()}
+    # the published run found no convergence for an extra error of the biomass
+    assert [f["stop"].endswith("at bound") for f in fits.values()] == [False, False, True, False, True]
+    assert [f["n_par"] for f in fits.values()] == [1, 2, 3, 3, 4]
+    assert fits["Model 22.2.b"]["mgc"] < 0.001 and fits["Model 22.2.b"]["log_det_hess"] > 0
+    assert fits["Model 22.2.a"]["log_det_hess"] is None
+    # a model that holds another one is at least as likely; an extra error at its lower bound adds nothing
+    assert fits["Model 22.2.b"]["nll"] < fits["Model 22"]["nll"]
+    assert fits["Model 22.2.a"]["nll"] == pytest.approx(fits["Model 22"]["nll"], abs=1e-3)
+    assert fits["Model 22.2.c"]["nll"] == pytest.approx(fits["Model 22.2.b"]["nll"], abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["Model 22.2.a", "Model 22.2.b"])
+def test_joint_fit_against_a_grid(name):
+    pdf = five_models()[name]
+    stock, fit = m._Stock(pdf, False), m.fit_stock(pdf)
+    centre = np.array([p["est"] for p in fit["parameters"]])
+    wide = [np.linspace(-4, 0.5, 19), np.linspace(-1.5, 0.8, 24), np.linspace(*m.LOG_TAU_BOUNDS, 23)]
+    best = min((stock.nll(np.array(t)), t) for t in ((a, b, c) for a in wide[0] for b in wide[1] for c in wide[2]))
+    assert fit["nll"] <= best[0] + 1e-9 and np.abs(np.array(best[1]) - centre).max() < 0.35
+    low, high = (np.array([p[i] for p in stock.parameters()]) for i in (1, 2))
+    steps = (-0.02, 0.0, 0.02)
+    around = [np.clip(centre + np.array(d), low, high) for d in ((a, b, c) for a in steps for b in steps for c in steps)]
+    assert min(map(stock.nll, around)) >= fit["nll"] - 1e-9
+
+
+def test_several_process_errors():
+    pdf = five_models()["Model 20"]
+    own = m.fit_stock(pdf.assign(process=pdf["region"].map({"AI": 1, "EBS Slope": 2, "SBS": 2})))
+    assert [p["parameter"] for p in own["parameters"]] == ["process_error_1", "process_error_2"]
+    # regions are independent given their parameters: the parts fitted alone add up
+    alone = [m.fit_stock(part) for part in (pdf[pdf["region"] == "AI"], pdf[pdf["region"] != "AI"])]
+    assert own["nll"] == pytest.approx(sum(f["nll"] for f in alone), abs=1e-6)
+    for mine, other in zip(own["parameters"], alone):
+        assert mine["est"] == pytest.approx(other["parameters"][0]["est"], abs=1e-4)
+    shared = m.fit_stock(pdf.assign(process=1))
+    assert shared["nll"] == pytest.approx(m.fit_stock(pdf)["nll"], abs=1e-12) and own["nll"] <= shared["nll"]
+
+
+def test_extra_errors_as_tables(spark):
+    schema = "species STRING, region STRING, year INT, biomass DOUBLE, cv DOUBLE"
+    data = spark.createDataFrame([("SST", r, y, b, c) for r, y, b, c in golden.SURVEY], schema)
+    index = spark.createDataFrame(golden.INDEX, "year INT, cpue DOUBLE, cv DOUBLE")
+    grid = m.model_input_grid(data, 2023)
+    both = m.with_index(grid, index, "SST", "EBS Slope")
+    models = {
+        "Model 20": grid,
+        "Model 22": both,
+        "Model 22.2.a": m.with_extra_error(both, biomass=True),
+        "Model 22.2.b": m.with_extra_error(both, cpue=True),
+        "Model 22.2.c": m.with_extra_error(both, biomass=True, cpue=True),
+        "own errors": m.with_process_errors(grid, {"AI": 2}),
+    }
+    fit = settled(m.rw_fit(m.stack_models(models)))
+    converged = {r["model_name"]: r["converged"] for r in m.fit_diagnostics(fit).collect()}
+    assert [converged[name] for name in models] == [True, True, False, True, False, True]
+    wanted = {name: m.fit_stock(pdf)["nll"] for name, pdf in five_models().items()}
+    ranked = {r["model_name"]: (r["nll"], r["n_par"]) for r in m.model_aic(fit).collect()}
+    assert all(ranked[name][0] == pytest.approx(nll) for name, nll in wanted.items())
+    parameters = {(r["model_name"], r["parameter"]): r for r in m.param_table(fit).collect()}
+    bound = parameters["Model 22.2.a", "extra_biomass_cv"]
+    assert bound["std_err"] is None and bound["estimate"] == pytest.approx(math.exp(-7.0))
+    assert ("own errors", "process_error_2") in parameters
+
+
+def test_recursion_equals_the_numerics_of_the_fit(spark):
+    from fathomline.plans import recursion
+
+    tables, points, want = [], [], {}
+    thetas = {"Model 20": [(-2.0,), (-0.5,)], "Model 22.2.c": [(-2.0, -0.3, -1.0, -2.0), (-1.0, 0.2, 0.1, -5.0)]}
+    for name, rows in thetas.items():
+        pdf = five_models()[name]
+        stock = m._Stock(pdf, False)
+        held = pdf.assign(model_name=name, species="SST").reindex(columns=["model_name", "species", "region", "year", "biomass", "cv", "cpue", "cpue_cv"])
+        tables += [tuple(None if isinstance(x, float) and math.isnan(x) else x for x in r) for r in held.itertuples(index=False)]
+        for i, theta in enumerate(rows):
+            points.append((name, "SST", i, *theta, *[None] * (4 - len(theta))))
+            want[name, i] = stock.at(np.array(theta)), stock
+    data = spark.createDataFrame(tables, "model_name STRING, species STRING, region STRING, year INT, biomass DOUBLE, cv DOUBLE, cpue DOUBLE, cpue_cv DOUBLE")
+    series = recursion.region_series(data.filter("biomass > 0 OR cpue > 0 OR year IN (1991, 2023)"))
+    given = spark.createDataFrame(points, f"model_name STRING, species STRING, {recursion.POINT}")
+    for r in recursion.likelihood_at(series, given).collect():
+        assert r["nll"] == pytest.approx(want[r["model_name"], r["point"]][0][2], rel=1e-10)
+    rows = recursion.states_at(series, given).collect()
+    assert len(rows) == 4 * 3 * 33
+    for r in rows:
+        (state, variance, _), stock = want[r["model_name"], r["point"]]
+        at = r["year"] - 1991, stock.regions.index(r["region"])
+        assert r["biomsd"] == pytest.approx(state[at], rel=1e-9) and r["variance"] == pytest.approx(variance[at], rel=1e-9)
