@@ -1,26 +1,32 @@
-"""Benchmark decontamination: BM25 over test items with block-max bounds, then overlap of word shingles."""
+"""Benchmark decontamination: BM25 over the shingles of test items by block-max WAND, then exact overlap."""
 
 from __future__ import annotations
 
+import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import Scratch, as_bytes, rows_of
+from fathomline.operators.ranking import running_sum
 
 WORDS = re.compile(r"[^\W_]+")
+SHINGLE = 5
 SEGMENT = 64
-GROUP = 16
-PART_SEGMENTS = 1024
+BLOCK = 32
+PASSAGE = 4096
+PART_TERMS = 1 << 17
 K1, B = 1.2, 0.75
-SHINGLE = 5
-ROWS = 1 << 17
+ODD = 0x9E3779B97F4A7C15
+CLOSE = 1e-9
 
 
 def words_of(data: bytes) -> list[str]:
@@ -34,23 +40,47 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[str]:
     return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+def word_code(word: str) -> int:
+    """64 bits of a word, never zero."""
+    return xxhash.xxh64_intdigest(word) | 1
+
+
+def terms_of(codes: np.ndarray, size: int) -> np.ndarray:
+    """A term per run of ``size`` words, from the codes of the words; 0 where a word has none."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total, known = np.full(n, size, np.uint64), np.ones(n, bool)
+    for j in range(size):
+        own = codes[j : j + n]
+        total = total * np.uint64(ODD) + own
+        known &= own != 0
+    return np.where(known, total | np.uint64(1), np.uint64(0))
+
+
+def item_terms(words: list[str]) -> np.ndarray:
+    """The terms of a test item in order, repeats included: its shingles, or its whole if it is shorter."""
+    codes = np.fromiter(map(word_code, words), np.uint64, len(words))
+    return terms_of(codes, min(SHINGLE, len(words)))
+
+
 @dataclass
 class Part:
-    """Inverted index of at most about ``PART_SEGMENTS`` segments of test items.
+    """Inverted index of test items with about ``PART_TERMS`` shingles in all.
 
-    Impacts are BM25 term scores divided by what the whole segment would score, so that one
-    threshold serves all. Segments lie in order of that whole score, in blocks of ``GROUP`` with
-    the greatest impact of each term and block kept.
+    Items are cut into segments of at most ``SEGMENT`` distinct shingles. An impact is a BM25 term score
+    divided by the least score that a text with the wanted share of the segment's shingles can have, so that
+    a score of 1 is what retrieval asks for, and nothing is lost by asking for it: a text with that share of
+    an item has that share of one of its segments. Postings go by segment; each block of ``BLOCK`` of them, and
+    each list, has its greatest impact.
     """
 
-    terms: dict[str, int]
-    bound: np.ndarray  # term x block: greatest impact
-    entry: np.ndarray  # sorted term * blocks + block
-    first: np.ndarray  # postings of each entry
-    place: np.ndarray  # posting: place of the segment in its block
-    impact: np.ndarray
-    item_of: np.ndarray  # segment -> index into items
-    items: list[tuple]  # (item_id, words, answer words)
+    words: dict[str, int]
+    sizes: list[int]
+    terms: np.ndarray
+    postings: list[tuple[list[int], list[float], list[int], list[float], float]]
+    item_of: list[int]
+    items: list[tuple[str, str, str]]  # key, words, answer
     known: dict[int, tuple[set[str], set[str]]] = field(default_factory=dict)
 
     def shingles_of(self, index: int) -> tuple[set[str], set[str]]:
@@ -59,63 +89,111 @@ class Part:
             self.known[index] = (shingles(text.split(" ") if text else []), shingles(answer.split(" ") if answer else []))
         return self.known[index]
 
-    def candidates(self, docs: list[list[str]], threshold: float) -> Iterator[tuple[int, int]]:
-        """(document, item) whose best passage scores at least ``threshold``.
-
-        A passage is two neighbouring runs of ``SEGMENT`` words, so each stretch as long as a
-        segment lies within one. Blocks whose bound over the passage's terms stays below the
-        threshold are skipped; in the others all segments are scored.
+    def query(self, words: list[str]) -> np.ndarray:
+        """Places of the index terms that a text has, gathered passage by passage."""
+        found = []
+        for at in range(0, len(words), PASSAGE):
+            own = words[at : at + PASSAGE + SHINGLE - 1]
+            codes = np.fromiter(map(self.words.get, own, repeat(0)), np.uint64, len(own))
+            if np.count_nonzero(codes) < self.sizes[0]:
+                continue
+            for size in self.sizes:
+                terms = terms_of(codes, size)
+                terms = terms[terms != 0]
+                place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+                found.append(np.unique(place[self.terms[place] == terms]))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def candidates(self, words: list[str]) -> set[int]:
+        """Items with a segment that scores at least 1 for the terms of a text: WAND with block maxima.
+
+        The lists are kept by current segment. The pivot is the first segment where the greatest impacts
+        of the lists up to it reach 1; no earlier one can. If the maxima of the blocks around the pivot do not,
+        all segments up to the end of the shortest block are skipped; else the pivot is scored.
         """
-        codes = [np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words)) for words in docs]
-        lengths = np.array([len(c) for c in codes], np.int64)
-        runs = -(-lengths // SEGMENT)
-        passages = np.where(lengths > 0, np.maximum(runs - 1, 1), 0)
-        base = np.r_[0, np.cumsum(passages)]
-        code = np.concatenate([*codes, np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(len(docs)), lengths)
-        run = (np.arange(len(code)) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)) // SEGMENT
-        hit = code >= 0
-        code, doc, run = code[hit], doc[hit], run[hit]
-        left, right = run < passages[doc], run >= 1
-        width = len(self.terms)
-        pairs = np.concatenate([(base[doc[left]] + run[left]) * width + code[left], (base[doc[right]] + run[right] - 1) * width + code[right]])
-        pairs = np.unique(pairs)
-        passage, term = pairs // width, pairs % width
-        heads = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(pairs) else np.zeros(0, np.int64)
-        ends = np.r_[heads[1:], len(pairs)]
-        at = 0
-        while at < len(heads):
-            # whole passages, about ROWS terms at a time
-            upto = max(int(np.searchsorted(ends, heads[at] + ROWS, side="right")), at + 1)
-            low = heads[at]
-            bounds = np.add.reduceat(self.bound[term[low : ends[upto - 1]]], heads[at:upto] - low, axis=0)
-            which, block = np.nonzero(bounds >= threshold - 1e-6)
-            yield from self._score(heads[at:upto][which], ends[at:upto][which], block, term, passage, base, threshold)
-            at = upto
-
-    def _score(self, head, end, block, term, passage, base, threshold) -> Iterator[tuple[int, int]]:
-        blocks = self.bound.shape[1]
-        step = max(1, ROWS // max(int((end - head).max(initial=1)), 1))
-        for at in range(0, len(head), step):
-            h, e, b = head[at : at + step], end[at : at + step], block[at : at + step]
-            size = e - h
-            owner = np.repeat(np.arange(len(h)), size)
-            terms = term[np.repeat(h - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-            key = terms * blocks + b[owner]
-            entry = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
-            ok = self.entry[entry] == key
-            entry, owner = entry[ok], owner[ok]
-            count = self.first[entry + 1] - self.first[entry]
-            posting = np.repeat(self.first[entry] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            slot = np.repeat(owner, count) * GROUP + self.place[posting]
-            score = np.bincount(slot, self.impact[posting], len(h) * GROUP).reshape(len(h), GROUP)
-            row, place = np.nonzero(score >= threshold)
-            found = np.searchsorted(base, passage[h[row]], side="right") - 1
-            yield from zip(found.tolist(), self.item_of[b[row] * GROUP + place].tolist())
-
-
-def _segments(items: DataFrame) -> DataFrame:
-    """Segments of test items: (item, segment, words, answer, terms with counts)."""
+        lists = [self.postings[t] for t in self.query(words).tolist()]
+        if sum(x[4] for x in lists) < 1 - CLOSE:
+            return set()
+        found: set[int] = set()
+        # (current segment, place in the list, list)
+        open_lists = [(x[0][0], 0, x) for x in lists]
+        while open_lists:
+            open_lists.sort(key=lambda x: x[0])
+            total, pivot = 0.0, None
+            for n, (segment, _, x) in enumerate(open_lists):
+                total += x[4]
+                if total >= 1 - CLOSE:
+                    pivot = segment
+                    break
+            if pivot is None:
+                break
+            while n + 1 < len(open_lists) and open_lists[n + 1][0] == pivot:
+                n += 1
+            bound, end = 0.0, open_lists[n + 1][0] if n + 1 < len(open_lists) else 1 << 62
+            for _, at, x in open_lists[: n + 1]:
+                block = bisect_left(x[2], pivot, at // BLOCK)
+                if block < len(x[2]):
+                    bound += x[3][block]
+                    end = min(end, x[2][block] + 1)
+            if bound < 1 - CLOSE:
+                open_lists = _moved(open_lists, n, max(end, pivot + 1))
+            elif open_lists[0][0] == pivot:
+                if sum(x[1][at] for _, at, x in open_lists[: n + 1]) >= 1 - CLOSE:
+                    found.add(self.item_of[pivot])
+                open_lists = _moved(open_lists, n, pivot + 1)
+            else:
+                open_lists = _moved(open_lists, n, pivot)
+        return found
+
+
+def _moved(open_lists: list[tuple], upto: int, segment: int) -> list[tuple]:
+    """The lists with the first ``upto`` + 1 of them moved to ``segment`` or beyond; finished ones go."""
+    out = []
+    for now, at, x in open_lists[: upto + 1]:
+        if now < segment:
+            at = bisect_left(x[0], segment, at)
+            if at == len(x[0]):
+                continue
+            now = x[0][at]
+        out.append((now, at, x))
+    return out + open_lists[upto + 1 :]
+
+
+def build(items: list[tuple[str, str, str, dict[int, int]]], total: int, mean: float, share: float) -> Part:
+    """The index over (key, words, answer, document frequencies above 1) of ``total`` items of ``mean`` words."""
+    vocabulary: dict[str, int] = {}
+    lists: dict[int, list[tuple[int, float]]] = {}
+    sizes, item_of = set(), []
+    for number, (_, text, _, shared) in enumerate(items):
+        words = text.split(" ")
+        for word in words:
+            if word not in vocabulary:
+                vocabulary[word] = word_code(word)
+        sizes.add(min(SHINGLE, len(words)))
+        terms, counts = np.unique(item_terms(words), return_counts=True)
+        frequency = np.fromiter((shared.get(t, 1) for t in terms.view(np.int64).tolist()), np.float64, len(terms))
+        idf = np.log(1 + (total - frequency + 0.5) / (frequency + 0.5))
+        impact = idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(words) / mean))
+        for at in range(0, len(terms), SEGMENT):
+            own, score = terms[at : at + SEGMENT], impact[at : at + SEGMENT]
+            wanted = int(np.ceil(share * len(own) - 1e-9))
+            score = score / np.sort(score)[:wanted].sum()
+            for term, value in zip(own.tolist(), score.tolist()):
+                lists.setdefault(term, []).append((len(item_of), value))
+            item_of.append(number)
+    terms = np.array(sorted(lists), np.uint64)
+    postings = []
+    for term in terms.tolist():
+        segments, impacts = (list(x) for x in zip(*lists[term]))
+        starts = range(0, len(segments), BLOCK)
+        ends = [segments[min(i + BLOCK, len(segments)) - 1] for i in starts]
+        tops = [max(impacts[i : i + BLOCK]) for i in starts]
+        postings.append((segments, impacts, ends, tops, max(tops)))
+    return Part(vocabulary, sorted(sizes), terms, postings, item_of, [i[:3] for i in items])
+
+
+def _texts(items: DataFrame) -> DataFrame:
+    """(item_id, key, words, answer, size, terms): the words of item and answer, their digest, and distinct terms."""
     answer = as_bytes(F.col("answer").cast("string")) if "answer" in items.columns else F.lit(b"")
     source = items.select(F.col("item_id").cast("long").alias("item_id"), as_bytes().alias("text"), answer.alias("answer"))
 
@@ -124,89 +202,67 @@ def _segments(items: DataFrame) -> DataFrame:
             out = []
             for item, text, reply in zip(ids, texts, answers):
                 words = words_of(text)
-                parts = -(-len(words) // SEGMENT)
-                for k in range(parts):
-                    own = words[len(words) * k // parts : len(words) * (k + 1) // parts]
-                    values, counts = np.unique(np.array(own, object), return_counts=True)
-                    out.append((item, " ".join(words), " ".join(words_of(reply)), k, len(own), values.tolist(), counts.tolist()))
-            names = ["item_id", "words", "answer", "segment", "size", "terms", "counts"]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+                if words:
+                    terms = np.unique(item_terms(words)).view(np.int64).tolist()
+                    out.append((item, " ".join(words), " ".join(words_of(reply)), len(words), terms))
+            names = ["item_id", "words", "answer", "size", "terms"]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
 
-    schema = "item_id long, words string, answer string, segment int, size int, terms array<string>, counts array<int>"
-    return source.mapInArrow(run, schema)
+    found = source.mapInArrow(run, "item_id long, words string, answer string, size long, terms array<long>")
+    return found.withColumn("key", F.sha2(F.concat_ws("\n", "words", "answer"), 256))
 
 
-def index_parts(items: DataFrame, scratch: Scratch) -> Iterator[Part]:
-    """The index over (item_id, text[, answer]), a bounded part at a time.
+def index_parts(texts: DataFrame, share: float, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(part, index): the pickled indexes over the texts of items, each text once, built in tasks; and their number.
 
-    Document frequencies and lengths are taken over all segments. What reaches the driver at
-    once, and later the tasks, is one part: about ``PART_SEGMENTS`` segments of ``SEGMENT`` words.
+    Parts are cut where the running number of shingles passes a multiple of ``PART_TERMS``: a part has at
+    most so many and one item more. Document frequencies and lengths are taken over all texts.
     """
-    segments = scratch.keep(_segments(items).distinct())
-    totals = segments.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("size")).first()
+    once = scratch.keep(texts.drop("item_id").dropDuplicates(["key"]))
+    totals = once.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("size"), F.sum(F.size("terms")).alias("terms")).first()
     if not totals["n"]:
-        return
-    parts = -(-totals["n"] // PART_SEGMENTS)
-    # the split runs over equal texts, so that all segments of an item keep one place in one part
-    dealt = segments.withColumn("part", F.pmod(F.xxhash64("words", "answer", "segment"), F.lit(parts)))
-    postings = dealt.select("part", "item_id", "words", "answer", "segment", "size", F.inline(F.arrays_zip("terms", "counts")))
-    frequency = postings.groupBy("terms").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("counts") + K1 * (1 - B + B * F.col("size") / totals["size"])
-    scored = postings.join(frequency, "terms").withColumn("impact", idf * F.col("counts") * (K1 + 1) / norm)
-    keys = ["part", "item_id", "words", "answer", "segment"]
-    grouped = scratch.keep(
-        scored.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("terms", "impact"))).alias("terms"))
-    )
-    for part in range(parts):
-        rows = grouped.filter(F.col("part") == part).drop("part").collect()
+        return once, 0
+    terms = once.select("key", F.explode("terms").alias("term"))
+    shared = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    frequent = terms.join(shared, "term").groupBy("key").agg(F.collect_list(F.struct("term", "df")).alias("shared"))
+    weighed = once.withColumn("all", F.lit(0)).withColumn("weight", F.size("terms").cast("long"))
+    summed = running_sum(weighed.select("all", "key", "weight"), "all", "key", "weight", "upto")
+    part = F.floor((F.col("upto") - F.col("weight")) / PART_TERMS).cast("int").alias("part")
+    whole = once.join(summed.select("key", part), "key").join(frequent, "key", "left").select("part", "key", "words", "answer", "shared")
+    parts = totals["terms"] // PART_TERMS + 1
+    dealt = whole.repartition(min(parts, 256), "part").sortWithinPartitions("part", "key")
+    n, mean = totals["n"], totals["size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(part: int, rows: list[tuple]) -> pa.RecordBatch:
+            index = pickle.dumps(build(rows, n, mean, share))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([index], pa.binary())], ["part", "index"])
+
+        now, rows = None, []
+        for parts, *columns in rows_of(batches):
+            for part, key, words, answer, own in zip(parts, *columns):
+                if part != now and rows:
+                    yield packed(now, rows)
+                    rows = []
+                now = part
+                rows.append((key, words, answer, {x["term"]: x["df"] for x in own or ()}))
         if rows:
-            yield _part(rows)
-
-
-def _part(rows: list) -> Part:
-    whole = np.array([sum(t["impact"] for t in r["terms"]) for r in rows])
-    order = np.argsort(whole, kind="stable")
-    terms: dict[str, int] = {}
-    items: dict[tuple, int] = {}
-    term, segment, impact, item_of = [], [], [], []
-    for place, k in enumerate(order.tolist()):
-        r = rows[k]
-        item_of.append(items.setdefault((r["item_id"], r["words"], r["answer"]), len(items)))
-        for t in r["terms"]:
-            term.append(terms.setdefault(t["terms"], len(terms)))
-            segment.append(place)
-            impact.append(t["impact"] / whole[k])
-    blocks = -(-len(rows) // GROUP)
-    term, segment, impact = np.array(term), np.array(segment), np.array(impact)
-    key = term * blocks + segment // GROUP
-    sort = np.lexsort((segment, key))
-    key, segment, impact = key[sort], segment[sort], impact[sort]
-    entry, first = np.unique(key, return_index=True)
-    bound = np.zeros(len(terms) * blocks, np.float32)
-    bound[entry] = np.maximum.reduceat(impact, first)
-    return Part(
-        terms,
-        bound.reshape(len(terms), blocks),
-        entry,
-        np.r_[first, len(key)],
-        segment % GROUP,
-        impact,
-        np.array(item_of),
-        list(items),
-    )
-
-
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
+            yield packed(now, rows)
+
+    return scratch.keep(dealt.mapInArrow(run, "part int, index binary")), parts
+
+
+def contaminated(docs: DataFrame, items: DataFrame, overlap: float = 0.8) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_found) of documents that hold a test item.
 
-    Every passage of every whole text of (doc_id, text) queries the index of (item_id, text[,
-    answer]); an item is a candidate if a segment of it gets at least ``threshold`` of its
-    own full BM25 score. It counts if the document has at least ``overlap`` of its distinct
-    5-word shingles and, where the items have an answer, of the answer's too. Words are runs of
-    letters and digits in lower case.
+    Every passage of every whole text of (doc_id, text) queries the index of (item_id, text[, answer]) with
+    its 5-word shingles, which are the index's terms; what the passages of a text find adds up. An item is
+    retrieved if a segment of it reaches the least BM25 score that ``overlap`` of its shingles can have, so
+    no item with that share is lost, however scattered. It counts if the document has at least
+    ``overlap`` of its distinct shingles and, where the items have an answer, of the answer's too. Words
+    are runs of letters and digits in lower case; an item of fewer words than a shingle is one shingle.
 
     Missing texts and texts without words hold nothing, items without words are never found;
     repeated documents and items give one row per pair; rows without doc_id or item_id are
@@ -215,42 +271,46 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"))
-    schema = "doc_id long, item_id long, n_shingles long, n_found long"
-    found = [spark.createDataFrame([], schema)]
+    texts = scratch.keep(_texts(items))
+    parts, count = index_parts(texts, overlap, scratch)
 
     def search(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = sent.value
+            part: Part = pickle.loads(sent.value)
             for ids, texts in rows_of(batches, 1 << 21):
-                docs = [words_of(t) for t in texts]
-                seen: dict[int, set[str]] = {}
                 out = []
-                for doc, item in sorted(set(part.candidates(docs, threshold))):
-                    wanted, reply = part.shingles_of(item)
-                    if doc not in seen:
-                        seen = {doc: shingles(docs[doc])}
-                        joined = " " + " ".join(docs[doc]) + " "
-                    # a short item is one run of fewer words, found as such
-                    held = len(wanted & seen[doc]) if len(next(iter(wanted)).split(" ")) == SHINGLE else int(f" {next(iter(wanted))} " in joined)
-                    enough = held >= overlap * len(wanted) - 1e-9
-                    if enough and reply:
-                        short = len(next(iter(reply)).split(" ")) < SHINGLE
-                        told = int(f" {next(iter(reply))} " in joined) if short else len(reply & seen[doc])
-                        enough = told >= overlap * len(reply) - 1e-9
-                    if enough:
-                        out.append((ids[doc], part.items[item][0], len(wanted), held))
+                for doc, text in zip(ids, texts):
+                    words = words_of(text)
+                    found = part.candidates(words)
+                    if found:
+                        seen, joined = shingles(words), f" {' '.join(words)} "
+                    for item in sorted(found):
+                        wanted, reply = part.shingles_of(item)
+                        # a short item is one run of fewer words, found as such
+                        held = len(wanted & seen) if len(next(iter(wanted)).split(" ")) == SHINGLE else int(f" {next(iter(wanted))} " in joined)
+                        enough = held >= overlap * len(wanted) - 1e-9
+                        if enough and reply:
+                            short = len(next(iter(reply)).split(" ")) < SHINGLE
+                            told = int(f" {next(iter(reply))} " in joined) if short else len(reply & seen)
+                            enough = told >= overlap * len(reply) - 1e-9
+                        if enough:
+                            out.append((doc, part.items[item][0], len(wanted), held))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 columns = list(zip(*out)) or [[]] * 4
-                names = ["doc_id", "item_id", "n_shingles", "n_found"]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+                names = ["doc_id", "key", "n_shingles", "n_found"]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
 
         return run
 
-    for part in index_parts(items, scratch):
-        found.append(source.mapInArrow(search(spark.sparkContext.broadcast(part)), schema))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionAll(more)
-    return pairs.distinct()
+    schema = "doc_id long, key string, n_shingles long, n_found long"
+    pairs = spark.createDataFrame([], schema)
+    for number in range(count):
+        # one bounded part at a time passes the driver, as the bytes that a task has made
+        row = parts.filter(F.col("part") == number).select("index").first()
+        if row is not None:
+            pairs = pairs.unionAll(source.mapInArrow(search(spark.sparkContext.broadcast(bytes(row["index"]))), schema))
+    named = texts.select("item_id", "key").distinct()
+    return pairs.distinct().join(named, "key").select("doc_id", "item_id", "n_shingles", "n_found")
 
 
 #: The same pairs over the views documents and benchmark, whose items all have at least five words.

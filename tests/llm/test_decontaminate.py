@@ -48,9 +48,10 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("part", [1024, 10])
-def test_cases(spark, monkeypatch, part):
-    monkeypatch.setattr(dec, "PART_SEGMENTS", part)
+@pytest.mark.parametrize("part, block", [(1 << 17, 32), (300, 1)])
+def test_cases(spark, monkeypatch, part, block):
+    monkeypatch.setattr(dec, "PART_TERMS", part)
+    monkeypatch.setattr(dec, "BLOCK", block)
     docs, items = corpus()
     left = spark.createDataFrame([(*d, 0, "x") for d in docs], "doc_id long, text string, item_id int, terms string").repartition(4)
     right = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int")
@@ -59,6 +60,51 @@ def test_cases(spark, monkeypatch, part):
     assert set(got) == brute(docs, items)
 
 
+def test_scattered_copies(spark):
+    items = [(k, " ".join(f"w{MADE.randrange(400)}" for _ in range(60))) for k in range(20)]
+    docs = [(k, t) for k, t in items]
+    for k, t in items:
+        words = t.split(" ")
+        other = [" ".join(f"o{MADE.randrange(10**6)}" for _ in range(200)) for _ in range(2)]
+        docs.append((100 + k, " ".join([*words[:20], other[0], *words[20:40], other[1], *words[40:]])))
+        docs.append((200 + k, " ".join([*words[:15], other[0], *words[15:30], other[1], *words[30:]])))
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in dec.contaminated(left, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items)
+    assert {(d, i) for d, i, *_ in got} >= {(k, k) for k in range(20)} | {(100 + k, k) for k in range(20)}
+
+
+def test_passages_add_up(spark, monkeypatch):
+    monkeypatch.setattr(dec, "PASSAGE", 16)
+    docs, items = corpus()
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in dec.contaminated(left, right).collect()} == brute(docs, items)
+
+
+def test_many_items_of_one_text_are_indexed_once(spark):
+    items = [(k, text(12) if k % 10 == 0 else "one text that five thousand items of the table share") for k in range(5000)]
+    texts = dec._texts(spark.createDataFrame(items, "item_id long, text string"))
+    parts, count = dec.index_parts(texts, 0.8, dec.Scratch(spark))
+    import pickle
+
+    assert count == 1 and len(pickle.loads(parts.first()["index"]).items) == len({t for _, t in items})
+    docs = [(1, "here is ONE text that five thousand items of the table share, indeed")]
+    got = dec.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.count() == 4500
+
+
+def test_parts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(dec, "PART_TERMS", 100)
+    items = [(k, text(30)) for k in range(50)]
+    parts, count = dec.index_parts(dec._texts(spark.createDataFrame(items, "item_id long, text string")), 0.8, dec.Scratch(spark))
+    import pickle
+
+    rows = parts.collect()
+    held = [sum(len(dec.shingles(w.split(" "))) for _, w, _ in pickle.loads(r["index"]).items) for r in rows]
+    assert len(rows) > 5 and count >= len(rows) and max(held) < 100 + 30 and sum(held) == sum(len(dec.shingles(dec.words_of(t.encode()))) for _, t in items)
+
+
 def test_answers_count_too(spark):
     question = text(30)
     items = [(1, question, "the answer is forty two and no more"), (2, question, None), (3, question, "blue")]
