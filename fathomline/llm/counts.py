@@ -153,12 +153,11 @@ def frequent_pieces(docs: DataFrame, size: int = FREQUENT) -> DataFrame:
     what is found in the first tier and never a count.
     """
     pieces = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("piece"))
-    # sketches cannot be merged where there is none: one blank more makes sure of one
-    pieces = pieces.unionAll(docs.sparkSession.range(1, numPartitions=1).select(F.lit(" ").alias("piece")))
     group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("part")
     sketches = pieces.filter(F.octet_length("piece") <= NAME_BYTES).groupBy(group)
     merged = sketches.agg(F.expr(f"approx_top_k_accumulate(piece, {TRACKED})").alias("sketch"))
-    whole = merged.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    # by a key: a partition without sketches has nothing to merge
+    whole = merged.groupBy(F.col("part") >= 0).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
     return whole.select(F.inline(F.expr(f"approx_top_k_estimate(sketch, {size})"))).select(F.col("item").alias("piece"))
 
 

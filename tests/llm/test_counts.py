@@ -69,6 +69,16 @@ def test_the_most_frequent_come_first(spark):
     assert dict(table.items()) == {"é": 2, " a": 1}
 
 
+def test_partitions_without_a_sketch(spark):
+    docs = spark.createDataFrame([(1, "the cat")], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert sorted(r.piece for r in counts.frequent_pieces(docs).collect()) == [" cat", "the"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_nothing_is_shuffled_but_sketches(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = counts.frequent_pieces(docs)._jdf.queryExecution().executedPlan().toString()
