@@ -100,8 +100,11 @@ def states_at(series: DataFrame, points: DataFrame) -> DataFrame:
 def likelihood_at(series: DataFrame, points: DataFrame) -> DataFrame:
     """(model_name, species, point, nll): negative log likelihood of all regions at each point."""
     own = f"""0.5 * (size(cells) - 1) * ({LOG_2PI!r}D + 2 * log_sigma) - 0.5 * size(cells) * {LOG_2PI!r}D + 0.5 * (
-      aggregate(terms, 0D, (s, x) -> s + x.w * x.y * x.y + x.v * x.z * x.z
-        + CASE WHEN x.w > 0 THEN {LOG_2PI!r}D - ln(x.w) ELSE 0D END + CASE WHEN x.v > 0 THEN {LOG_2PI!r}D - ln(x.v) ELSE 0D END)
-      + aggregate(forward, 0D, (s, x) -> s + ln(x.p) - x.f * x.f / x.p))"""
+      aggregate(arrays_zip(terms, back), 0D, (s, r) -> s + r.terms.w * pow(r.terms.y - r.back.state, 2)
+        + r.terms.v * pow(r.terms.z - r.back.state, 2)
+        + CASE WHEN r.terms.w > 0 THEN {LOG_2PI!r}D - ln(r.terms.w) ELSE 0D END
+        + CASE WHEN r.terms.v > 0 THEN {LOG_2PI!r}D - ln(r.terms.v) ELSE 0D END)
+      + aggregate(forward, 0D, (s, x) -> s + ln(x.p))
+      + link * aggregate(transform(back, (x, i) -> CASE WHEN i = 0 THEN 0D ELSE pow(x.state - back[i - 1].state, 2) END), 0D, (s, x) -> s + x))"""
     parts = solved(series, points).select(*STOCK, "point", F.expr(own).alias("part"))
     return parts.groupBy(*STOCK, "point").agg(F.sum("part").alias("nll"))

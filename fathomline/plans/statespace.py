@@ -141,8 +141,8 @@ class _Stock:
         if "process" in pdf and pdf["process"].notna().any():
             numbers = pdf.groupby("region")["process"].max().reindex(self.regions).fillna(1)
             self.process = np.unique(numbers.to_numpy(int), return_inverse=True)[1]
-        self.extra_biomass = "extra_biomass" in pdf and bool(pdf["extra_biomass"].fillna(False).any())
-        self.extra_cpue = self.has_index and "extra_cpue" in pdf and bool(pdf["extra_cpue"].fillna(False).any())
+        self.extra_biomass = "extra_biomass" in pdf and bool((pdf["extra_biomass"] == True).any())  # noqa: E712
+        self.extra_cpue = self.has_index and "extra_cpue" in pdf and bool((pdf["extra_cpue"] == True).any())  # noqa: E712
 
     def _observations(self, pdf, value, error, row, column, shape, is_se):
         amount = pdf[value].to_numpy(float)
@@ -199,11 +199,13 @@ class _Stock:
             factor = link / pivot[t]
             state[t] = forward[t] / pivot[t] + factor * state[t + 1]
             variance[t] = 1 / pivot[t] + factor * factor * variance[t + 1]
-        squares = np.sum(weight * self.y**2) + np.sum(index_weight * index**2)
+        # from residuals and steps: sums of squared logs would cancel almost wholly where weights are large
+        squares = np.sum(weight * (self.y - state) ** 2) + np.sum(index_weight * (index - state) ** 2)
+        squares += np.sum(link * np.diff(state, axis=0) ** 2)
         nll = (
             0.5 * (n - 1) * float(np.sum(LOG_2PI + 2 * log_sigma))
             + constant
-            + 0.5 * (squares - np.sum(b * state) + np.sum(np.log(pivot)))
+            + 0.5 * (squares + np.sum(np.log(pivot)))
             - 0.5 * regions * n * LOG_2PI
         )
         return state, variance, float(nll)

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from fathomline.operators import complete
+from fathomline.plans import recursion
 from fathomline.plans import statespace as m
 from fathomline.plans.survey import biomass_strata
 from fathomline.registry import register
+from fathomline.registry.model_sql import FIT_SQL, STATES_SQL, solve_sql
 from fathomline.registry.survey import LLS_SQL, STRATA_SQL, _index  # noqa: F401
 from fathomline.session import settled
 from fathomline.sources import model_reports as reports
@@ -56,25 +58,55 @@ GROUP BY species, value, year""",
 )
 
 
+def _index_points(t):
+    """The line index on the slope, scaled down so that q is of the size of one."""
+    return _index(t).filter(F.col("strata") == "EBS Slope").withColumn("cpue", F.col("cpue") / 1000)
+
+
 def _fit(t):
     """Both models fitted in one job: with and without the line index."""
     grid = _grid(t)
-    # the index is scaled down so that q is of the size of one
-    index = _index(t).filter(F.col("strata") == "EBS Slope").withColumn("cpue", F.col("cpue") / 1000)
-    models = {"Model 20": grid, "Model 22": m.with_index(grid, index, "SST", "EBS_SLOPE")}
+    models = {"Model 20": grid, "Model 22": m.with_index(grid, _index_points(t), "SST", "EBS_SLOPE")}
     return settled(m.rw_fit(m.stack_models(models)))
 
 
-def _states(t):
-    return m.state_rows(_fit(t)).select("model_name", "species", "region", "year", "re_est", "biomsd_sd")
+_FIT = {**_GRID_SQL, **LLS_SQL, **FIT_SQL}
+_ALL = {**_FIT, **STATES_SQL}
+_FIT_USES = ("survey_zeros", "lls")
+
 
+def _states(t):
+    return m.state_rows(_fit(t)).select("model_name", "species", "region", "year", "re_est", "biomsd", "biomsd_sd")
+
+
+for _key, _model in (("rw_fit", "Model 20"), ("rw_fit_multi", "Model 22")):
+    register(
+        _key,
+        lambda t, model=_model: _states(t).filter(F.col("model_name") == model),
+        f"""
+SELECT model_name, species, region, year, round(re_est, 0) AS re_est, round(biomsd, 6) AS biomsd, round(biomsd_sd, 5) AS biomsd_sd
+FROM states WHERE model_name = '{_model}'""",
+        uses=_FIT_USES,
+        extra=_ALL,
+        digits={"re_est": 0, "biomsd_sd": 5},
+    )
 
-register("rw_fit", lambda t: _states(t).filter(F.col("model_name") == "Model 20"), digits={"re_est": 3})
-register("rw_fit_multi", lambda t: _states(t).filter(F.col("model_name") == "Model 22"), digits={"re_est": 3})
 register(
     "rw_area_output",
     lambda t: m.rw_area_output(_fit(t)),
-    digits={"re_est": 3, "re_lci": 3, "re_uci": 3},
+    """
+SELECT model_name, species, year, region, round(re_est, 0) AS re_est, round(exp(biomsd - 1.96 * biomsd_sd), -1) AS re_lci,
+       round(exp(biomsd + 1.96 * biomsd_sd), -1) AS re_uci
+FROM states
+UNION ALL
+SELECT model_name, species, year, 'TOTAL', round(est, 0), round(exp(ln(est) - 1.96 * sd), -1), round(exp(ln(est) + 1.96 * sd), -1)
+FROM (SELECT model_name, species, year, sum(re_est) AS est,
+             sqrt(ln(sum(exp(2 * biomsd + biomsd_sd * biomsd_sd) * (exp(biomsd_sd * biomsd_sd) - 1))
+                     / (sum(exp(biomsd + 0.5 * biomsd_sd * biomsd_sd)) * sum(exp(biomsd + 0.5 * biomsd_sd * biomsd_sd))) + 1)) AS sd
+      FROM states GROUP BY 1, 2, 3) x""",
+    uses=_FIT_USES,
+    extra=_ALL,
+    digits={"re_est": 0, "re_lci": -1, "re_uci": -1},
 )
 register(
     "model_input_check",
@@ -86,9 +118,99 @@ FROM strata WHERE biomass > 0 GROUP BY species, region""",
     uses=("survey_zeros",),
     extra=STRATA_SQL,
 )
-register("fit_diagnostics", lambda t: m.fit_diagnostics(_fit(t)).select("model_name", "species", "n_used", "n_unused", "converged"))
-register("param_table", lambda t: m.param_table(_fit(t)), digits={n: 4 for n in ("estimate", "std_err", "lci", "uci")})
-register("model_aic", lambda t: m.model_aic(_fit(t)))
+register(
+    "fit_diagnostics",
+    lambda t: m.fit_diagnostics(_fit(t)).select("model_name", "species", "n_used", "n_unused", "log_det_hess", "converged"),
+    """
+SELECT f.model_name, f.species, CAST(o.n AS INTEGER) AS n_used, CAST(0 AS INTEGER) AS n_unused, round(ln(det), 4) AS log_det_hess,
+       greatest(abs(gs), coalesce(abs(gq), 0)) < 0.001 AND ln(det) > 0 AS converged
+FROM fitted f JOIN (SELECT model_name, species, count(CASE WHEN w > 0 THEN 1 END) + count(CASE WHEN v > 0 THEN 1 END) AS n
+                    FROM obs GROUP BY 1, 2) o USING (model_name, species)""",
+    uses=_FIT_USES,
+    extra=_FIT,
+    digits={"log_det_hess": 4},
+)
+_PAR = "SELECT species AS species_group, model_name"
+register(
+    "param_table",
+    lambda t: m.param_table(_fit(t)),
+    f"""
+SELECT species_group, model_name, parameter, round(exp(est), 4) AS estimate, round(exp(est) * se, 4) AS std_err,
+       round(exp(est - 1.959963984540054 * se), 4) AS lci, round(exp(est + 1.959963984540054 * se), 4) AS uci
+FROM ({_PAR}, 'process_error' AS parameter, s AS est, sqrt(css) AS se FROM fitted
+      UNION ALL {_PAR}, 'scaling_parameter_q', q, sqrt(cqq) FROM fitted WHERE k = 2) p""",
+    uses=_FIT_USES,
+    extra=_FIT,
+    digits={n: 4 for n in ("estimate", "std_err", "lci", "uci")},
+)
+register(
+    "model_aic",
+    lambda t: m.model_aic(_fit(t)),
+    """
+SELECT species, model_name, round(nll, 6) AS nll, CAST(k AS INTEGER) AS n_par, round(2 * nll + 2 * k, 6) AS aic,
+       round(2 * nll + 2 * k - min(2 * nll + 2 * k) OVER (PARTITION BY species), 6) AS delta_aic,
+       CAST(rank() OVER (PARTITION BY species ORDER BY 2 * nll + 2 * k) AS INTEGER) AS rank
+FROM fitted""",
+    uses=_FIT_USES,
+    extra=_FIT,
+)
+
+# parameters to look at, whatever would be estimated
+_LOOK = [(model, species, i, s, 0.3 * i - 1 if (model, species) == ("Model 22", "SST") else 0.0)
+         for model in ("Model 20", "Model 22") for species in ("SST", "non-SST") for i, s in enumerate((-2.1095, -0.35468, 0.5))]
+_LOOK_SQL = {
+    **_GRID_SQL,
+    **LLS_SQL,
+    "obs": FIT_SQL["obs"],
+    "look": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}, {d}::DOUBLE, {e}::DOUBLE)" for a, b, c, d, e in _LOOK)
+    + ") x(model_name, species, point, s, q)",
+    **solve_sql("look", "look"),
+}
+
+
+def _look(t):
+    """The input of both models by region, and the parameters to look at."""
+    grid = _grid(t)
+    models = {"Model 20": grid, "Model 22": m.with_index(grid, _index_points(t), "SST", "EBS_SLOPE")}
+    points = t.spark.createDataFrame(_LOOK, "model_name STRING, species STRING, point INT, log_sigma DOUBLE, log_q DOUBLE")
+    return recursion.region_series(m.stack_models(models)), points
+
+
+register(
+    "rw_states_at",
+    lambda t: recursion.states_at(*_look(t)),
+    """
+SELECT model_name, species, point, region, CAST(t - 1 + (SELECT min(year) FROM inputs) AS INTEGER) AS year, round(x, 6) AS biomsd,
+       round(var, 6) AS variance
+FROM look_states""",
+    uses=_FIT_USES,
+    extra=_LOOK_SQL,
+)
+register(
+    "rw_likelihood_at",
+    lambda t: recursion.likelihood_at(*_look(t)),
+    "SELECT model_name, species, CAST(point AS INTEGER) AS point, round(nll, 6) AS nll FROM look_nll",
+    uses=_FIT_USES,
+    extra=_LOOK_SQL,
+)
+
+
+def _extra_errors(t):
+    """The models with and without the index and with extra observation errors, by AIC within the species."""
+    grid = _grid(t)
+    both = m.with_index(grid, _index_points(t), "SST", "EBS_SLOPE")
+    models = {
+        "Model 20": grid,
+        "Model 22": both,
+        "Model 22.2.a": m.with_extra_error(both, biomass=True),
+        "Model 22.2.b": m.with_extra_error(both, cpue=True),
+        "Model 22.2.c": m.with_extra_error(both, biomass=True, cpue=True),
+    }
+    fit = settled(m.rw_fit(m.stack_models(models)))
+    return m.model_aic(fit).join(m.fit_diagnostics(fit).select("species", "model_name", "stop", "converged"), ["species", "model_name"])
+
+
+register("observation_error_models", _extra_errors, digits={n: 3 for n in ("nll", "aic", "delta_aic")})
 
 register(
     "param_ci",

@@ -234,4 +234,5 @@ def with_bindings(names, extra: dict[str, str] | None = None) -> str:
         parts.append(f"{name} AS (\n{text})")
     for name, text in (extra or {}).items():
         parts.append(f"{name} AS (\n{text.strip()})")
-    return "WITH " + ",\n".join(parts)
+    own = any(re.search(rf"\bFROM {name}\b", text) for name, text in (extra or {}).items())
+    return ("WITH RECURSIVE " if own else "WITH ") + ",\n".join(parts)
