@@ -2,7 +2,7 @@
 
 from fathomline.operators.lookup import lookup_join
 from fathomline.operators.naming import clean_names, lower_names
-from fathomline.operators.ranking import exact_quantiles, running_sum, top_with_ties
+from fathomline.operators.ranking import dense_numbers, exact_quantiles, numbered, running_sum, top_with_ties
 from fathomline.operators.reshape import (
     complete,
     grid,
@@ -14,10 +14,12 @@ from fathomline.operators.reshape import (
 __all__ = [
     "clean_names",
     "complete",
+    "dense_numbers",
     "exact_quantiles",
     "grid",
     "lookup_join",
     "lower_names",
+    "numbered",
     "pivot_wider",
     "running_sum",
     "top_with_ties",

@@ -46,6 +46,31 @@ def running_sum(df: DataFrame, group: str, order: str, weight: str, name: str) -
     return summed.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
 
 
+def numbered(df: DataFrame, name: str = "row_no", start: int = 0) -> DataFrame:
+    """``df`` with the number of each row in the order it comes in, from ``start`` on without gaps.
+
+    ``df`` is sorted, so its partitions follow each other. The rows are written once with their place
+    in their partition; counts per partition, summed up, give each partition its start. No task holds more
+    than a partition. Rows that the sort leaves tied may swap their numbers from run to run.
+    """
+    placed = settled(df.withColumn("_place", F.monotonically_increasing_id()))
+    return dense_numbers(placed, "_place", name, start=start)
+
+
+def dense_numbers(df: DataFrame, place: str, name: str, groups: Sequence[str] = (), start: int = 0) -> DataFrame:
+    """``df`` with gapless numbers within ``groups`` in place of a column of increasing ids.
+
+    An id has the partition above its low 33 bits and the place in the partition in them. ``df`` is read twice: settle it first.
+    """
+    part = F.shiftright(place, 33)
+    counts = df.groupBy(*groups, part.alias("_part")).agg(F.count(F.lit(1)).alias("_held"))
+    before = W.partitionBy(*groups, F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*groups, "_part", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + start
+    joined = df.withColumn("_part", part).join(starts, [*groups, "_part"])
+    return joined.withColumn(name, number.cast("long")).drop("_part", "_start", *([place] if place != name else []))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int = 20_000) -> DataFrame:
     """Linearly interpolated quantiles as rows (prob, quantile), exact at any size.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import drop_trailing_zeros, fixed, or_na
+from fathomline.operators import dense_numbers
 from fathomline.plans import catch as tables
 from fathomline.session import settled
 
@@ -41,8 +42,11 @@ def quoted(text: Column) -> Column:
     return F.when(text.rlike('[,"\\n\\r]'), inside).otherwise(text)
 
 
-def _lines(df: DataFrame, number: int, row_no: Column, line: Column) -> DataFrame:
-    return df.select(F.lit(number).alias("section"), row_no.cast("bigint").alias("row_no"), line.alias("line"))
+def _lines(df: DataFrame, number: int, row_no: Column, line: Column, block: int = 0) -> DataFrame:
+    """Lines of a section with their place in a block of it; ``stack_sections`` numbers them through."""
+    return df.select(
+        F.lit(number).alias("section"), F.lit(block).alias("block"), row_no.cast("bigint").alias("row_no"), line.alias("line")
+    )
 
 
 def text_section(spark, number: int, lines: Sequence[str]) -> DataFrame:
@@ -51,25 +55,36 @@ def text_section(spark, number: int, lines: Sequence[str]) -> DataFrame:
     return _lines(spark.range(1).select(F.posexplode(items).alias("p", "l")), number, F.col("p"), F.col("l"))
 
 
-def table_section(number: int, title: str, df: DataFrame) -> DataFrame:
+def table_section(number: int, title: str, df: DataFrame, digits: int | None = None) -> DataFrame:
     """Title, header and rows of a table, which keeps the order it comes in.
 
-    Row numbers only have to rise with the order of the sorted partitions, so they
-    need no window over the whole table.
+    ``digits`` rounds the doubles that are printed.
     """
     head = text_section(df.sparkSession, number, ["", title, ",".join(df.columns)])
-    rows = _lines(df, number, F.monotonically_increasing_id() + 3, F.concat_ws(",", *_printed(df)))
+    if digits is not None:
+        df = df.select(*[(F.round(F.col(f"`{c}`"), digits) if k == "double" else F.col(f"`{c}`")).alias(c) for c, k in df.dtypes])
+    rows = _lines(df, number, F.monotonically_increasing_id(), F.concat_ws(",", *_printed(df)), block=1)
     return head.unionByName(rows)
 
 
 def stack_sections(sections: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, sections)
+    """All sections as (section, row_no, line), the lines of each numbered from 0 without gaps.
+
+    The lines are written once; their numbers come from counts per section, block and partition, so
+    they do not hang on how many partitions a table had.
+    """
+    lines = settled(reduce(DataFrame.unionByName, sections))
+    by_block = dense_numbers(lines, "row_no", "place", ["section", "block"])
+    sizes = lines.groupBy("section", "block").agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.filter("block = 0").select("section", F.col("n").alias("first"))
+    shift = F.when(F.col("block") == 0, F.lit(0)).otherwise(F.coalesce("first", F.lit(0)))
+    return by_block.join(first, "section", "left").select("section", (F.col("place") + shift).alias("row_no"), "line")
 
 
 def catch_report(
-    catch: DataFrame, proportion: DataFrame, areas: Sequence[int], source: str, access_date: str
+    catch: DataFrame, proportion: DataFrame, areas: Sequence[int], source: str, access_date: str, digits: int | None = None
 ) -> DataFrame:
-    """All catch tables as (section, row_no, line).
+    """All catch tables as (section, row_no, line); ``digits`` rounds the doubles that are printed.
 
     ``catch`` is the cube of sums over all columns used here. It is settled once
     and every section reads it.
@@ -83,7 +98,7 @@ def catch_report(
     )
     sections = [
         text_section(spark, 0, ["Catch tables", f"Catch from {source}, queried {access_date}"]),
-        table_section(1, "Total catch (t) by FMP and FMP subarea", tables.catch_by_fmp(cube).orderBy("Year")),
+        table_section(1, "Total catch (t) by FMP and FMP subarea", tables.catch_by_fmp(cube).orderBy("Year"), digits),
         table_section(
             2,
             "Catch (t) by species and percent shortspine thornyhead in the thornyhead catch",
@@ -108,9 +123,9 @@ def catch_report(
 
 
 def biomass_report(
-    survey: DataFrame, regions: DataFrame, combined: DataFrame, source: str, access_date: str
+    survey: DataFrame, regions: DataFrame, combined: DataFrame, source: str, access_date: str, digits: int | None = None
 ) -> DataFrame:
-    """All biomass tables as (section, row_no, line).
+    """All biomass tables as (section, row_no, line); ``digits`` rounds the doubles that are printed.
 
     ``survey`` has the survey estimates by species, region and year with their limits,
     ``regions`` the model's estimates (species, region, year and what else is to be
@@ -127,11 +142,11 @@ def biomass_report(
     shown = ["biomass", "var", "lci", "uci"]
     sections = [
         text_section(spark, 0, ["Biomass tables", f"Surveys from {source}, queried {access_date}"]),
-        table_section(1, "Survey biomass (t) by region with 95% limits", survey.select(*keys, *shown).orderBy(*keys)),
-        table_section(2, "Model biomass (t) by region", regions.orderBy(*keys)),
-        table_section(3, "Model biomass (t) by FMP with 95% limits", level("fmp", "species", "FMP")),
-        table_section(4, "Model biomass (t) by species with 95% limits", level("species", "species")),
-        table_section(5, "Model biomass (t) of all species with 95% limits", level("total")),
+        table_section(1, "Survey biomass (t) by region with 95% limits", survey.select(*keys, *shown).orderBy(*keys), digits),
+        table_section(2, "Model biomass (t) by region", regions.orderBy(*keys), digits),
+        table_section(3, "Model biomass (t) by FMP with 95% limits", level("fmp", "species", "FMP"), digits),
+        table_section(4, "Model biomass (t) by species with 95% limits", level("species", "species"), digits),
+        table_section(5, "Model biomass (t) of all species with 95% limits", level("total"), digits),
     ]
     return stack_sections(sections)
 

@@ -1,10 +1,23 @@
 """Queries for the catch tables."""
 
+from fathomline.operators import numbered
 from fathomline.plans import catch as c
 from fathomline.plans import report
 from fathomline.plans.labels import COMMON_SPECIES, GEARS
-from fathomline.registry import register
-from fathomline.registry.shared import ALL_AREAS, CATCH_USES, CLEAN_SQL, SPLIT_SQL, atka, cells, clean, proportion
+from fathomline.registry import ALL, register
+from fathomline.registry.shared import (
+    ALL_AREAS,
+    CATCH_USES,
+    CLEAN_SQL,
+    SPLIT_SQL,
+    atka,
+    cells,
+    clean,
+    number_text,
+    proportion,
+    table_lines,
+    text_lines,
+)
 from fathomline.session import settled
 
 DIGITS = {"catch": 4}
@@ -495,6 +508,48 @@ register(
     uses=("obs_points",),
 )
 
+# --- tables in print order ---------------------------------------------------
+_PERCENTS = {**ALL["gear_target_pct"].extra}
+_GEAR_ROWS = (
+    "(SELECT * FROM percents UNION ALL SELECT 'Total', " + ", ".join(f'sum("{g}")' for g in [*GEARS, "Total"]) + " FROM percents) p"
+)
+_GEAR_ORDER = "\"Target fishery\" = 'Total', \"Total\" DESC, \"Target fishery\""
+_GEAR_FIELDS = {"Target fishery": '"Target fishery"', **{g: _drop0(f'"{g}"') for g in [*GEARS, "Total"]}}
+_SPECIES_FIELDS = {"Year": "y", "Area": "fmp_subarea"} | {
+    title: f"coalesce(printf('%.1f', \"{s}\"), 'NA')" + (" || '%'" if s == "perc_sst" else "")
+    for s, title in c.SPECIES_TITLES.items()
+}
+_SPECIES_ORDER = "fmp_subarea, y = 'Average', y"
+
+
+def _in_order(fields, source, order):
+    """SQL of text fields with their place in print order."""
+    columns = ", ".join(f'{text} AS "{name}"' for name, text in fields.items())
+    return f"SELECT {columns}, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS row_no FROM {source}"
+
+
+register(
+    "gear_target_in_order",
+    lambda t: numbered(c.gear_target_pct(cells(t, "target", "gear"))),
+    _in_order(_GEAR_FIELDS, _GEAR_ROWS, _GEAR_ORDER),
+    uses=CATCH_USES,
+    extra=_PERCENTS,
+)
+register(
+    "catch_by_species_in_order",
+    lambda t: numbered(c.catch_by_species(cells(t), proportion(t))),
+    _in_order(_SPECIES_FIELDS, "rows", _SPECIES_ORDER),
+    uses=CATCH_USES,
+    extra={**SPLIT_SQL, **_WIDE},
+)
+
+_DETAIL_FIELDS = {"Gear": '"Gear"', "Target fishery": '"Target fishery"', **{n: _drop0(f'"{n}"') for n in _DETAIL_COLUMNS}}
+_FMP_FIELDS = {"Year": 'CAST("Year" AS VARCHAR)', **{n: number_text(f'"{n}"', 4) for n in ("BSAI", "AI", "EBS")}}
+_DISCARD_FIELDS = {"Area": '"Area"', "Year": 'CAST("Year" AS VARCHAR)'} | {
+    n: f'"{n}"' for n in ("Discarded", "Retained", "Total catch", "Percent discarded")
+}
+_SUBSETS = [(s, a) for s in ("dusky", "SST") for a in ("EBS", "AI")]
+
 register(
     "catch_report",
     lambda t: report.catch_report(
@@ -503,5 +558,39 @@ register(
         ALL_AREAS,
         "catch_raw",
         "10/03/2022",
+        digits=4,
     ),
+    "\nUNION ALL ".join(
+        [
+            text_lines(0, ["Catch tables", "Catch from catch_raw, queried 10/03/2022"]),
+            table_lines(1, "Total catch (t) by FMP and FMP subarea", _FMP_FIELDS, "by_fmp", '"Year"'),
+            table_lines(
+                2, "Catch (t) by species and percent shortspine thornyhead in the thornyhead catch", _SPECIES_FIELDS, "rows", _SPECIES_ORDER
+            ),
+            table_lines(3, "Percentage of the total catch by target fishery and gear type", _GEAR_FIELDS, _GEAR_ROWS, _GEAR_ORDER),
+            *[
+                table_lines(
+                    number,
+                    f"Sum of total catch (t) of {area} {species} by target fishery and gear type",
+                    _DETAIL_FIELDS,
+                    f"(SELECT * FROM detail WHERE species_name = '{species}' AND fmp_subarea = '{area}') d",
+                    f"\"Gear\" = 'Total (t)', CAST({_drop0(chr(34) + 'Total (t)' + chr(34))} AS DOUBLE) DESC, \"Gear\", \"Target fishery\"",
+                )
+                for number, (species, area) in enumerate(_SUBSETS, 4)
+            ],
+            table_lines(8, "Retained and discarded catch by area and year", _DISCARD_FIELDS, "discards", '"Area", "Year"'),
+        ]
+    ),
+    uses=CATCH_USES,
+    extra={
+        **SPLIT_SQL,
+        **_WIDE,
+        **_PERCENTS,
+        "parts": ALL["detailed_catch_byarea"].extra["parts"],
+        "detail": "SELECT * FROM parts UNION ALL SELECT species_name, fmp_subarea, 'Total (t)', NULL, "
+        + ", ".join(f'sum("{n}")' for n in _DETAIL_COLUMNS)
+        + " FROM parts GROUP BY 1, 2",
+        "by_fmp": ALL["catch_by_fmp"].sql,
+        "discards": ALL["discard_table"].sql,
+    },
 )

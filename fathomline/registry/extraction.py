@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fathomline.operators import numbered
 from fathomline.plans import extraction as x
 from fathomline.registry import register
 from fathomline.registry.shared import (
@@ -197,6 +198,16 @@ SELECT YEAR AS year, STRATUM AS stratum, LENGTH / 10 AS length, SPECIES_CODE AS
     uses=("survey_len",),
 )
 
+register(
+    "survey_length_in_order",
+    lambda t: numbered(x.survey_length_prep(t["survey_len"])),
+    """
+SELECT YEAR AS year, STRATUM AS stratum, LENGTH / 10 AS length, SPECIES_CODE AS species_code, FREQUENCY AS frequency,
+       CAST(row_number() OVER (ORDER BY SPECIES_CODE, YEAR, LENGTH / 10, STRATUM, FREQUENCY) - 1 AS BIGINT) AS row_no
+FROM survey_len""",
+    uses=("survey_len",),
+)
+
 register(
     "survey_length_strata",
     lambda t: x.survey_length_strata(t["survey_len"], t["survey_strata"]),

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from fathomline.operators import grid
+from fathomline.operators import grid, numbered
 from fathomline.plans import limits as l
 from fathomline.plans import report
 from fathomline.plans.survey import survey_ci, survey_grid_nulls
-from fathomline.registry import register
-from fathomline.registry.shared import CATCH_USES, SPLIT_SQL, cells
-from fathomline.registry.survey import LLS_SQL, STRATA_SQL, _index, areas, strata
+from fathomline.registry import ALL, register
+from fathomline.registry.shared import CATCH_USES, SPLIT_SQL, cells, number_text, table_lines, text_lines
+from fathomline.registry.survey import LLS_SQL, NULL_GRID_SQL, STRATA_SQL, _index, areas, strata
 from fathomline.session import settled
 
 YEAR = 2001
@@ -110,6 +110,19 @@ FROM with_total""",
     digits=_MONEY,
 )
 
+register(
+    "specs_in_order",
+    lambda t: numbered(l.specs_long(_specs(t))).drop("species_order", "variable_order"),
+    """
+SELECT species AS "Species", variable AS "Variable", round(value, 3) AS "Value", CAST(row_number() OVER (
+  ORDER BY CASE species WHEN 'SST' THEN 1 WHEN 'non-SST' THEN 2 ELSE 3 END,
+           list_position(['M', 'Biomass', 'F_OFL', 'maxF_ABC', 'F_ABC', 'OFL', 'maxABC', 'ABC', 'AI ABC', 'EBS ABC'], variable)) - 1 AS BIGINT) AS row_no
+FROM with_total""",
+    uses=("model_output",),
+    extra=_LONG,
+    digits=_MONEY,
+)
+
 register(
     "specs_crossfoot",
     lambda t: l.specs_crossfoot(l.fmp_estimates(_combined(t)), YEAR),
@@ -432,6 +445,18 @@ register(
     extra=SPLIT_SQL,
 )
 
+_KEYS, _KEY_ORDER, _EST = ["species", "region", "year"], "species, region, year", ["est", "lci", "uci"]
+
+
+def _shown_fields(keys: list[str], numbers: list[str]) -> dict[str, str]:
+    """Printed keys and numbers of a biomass table."""
+    return {k: f'CAST("{k}" AS VARCHAR)' for k in keys} | {n: number_text(f'"{n}"', 3) for n in numbers}
+
+
+def _at_level(level: str) -> str:
+    return f"(SELECT * FROM levels WHERE level = '{level}') x"
+
+
 register(
     "biomass_report",
     lambda t: report.biomass_report(
@@ -440,7 +465,28 @@ register(
         _combined(t),
         "survey_zeros",
         "10/03/2022",
+        digits=3,
+    ),
+    "\nUNION ALL ".join(
+        [
+            text_lines(0, ["Biomass tables", "Surveys from survey_zeros, queried 10/03/2022"]),
+            table_lines(1, "Survey biomass (t) by region with 95% limits", _shown_fields(_KEYS, ["biomass", "var", "lci", "uci"]), "limits", _KEY_ORDER),
+            table_lines(2, "Model biomass (t) by region", _shown_fields(_KEYS, ["re_est"]), "model_output", _KEY_ORDER),
+            table_lines(3, "Model biomass (t) by FMP with 95% limits", _shown_fields(["species", "FMP", "year"], _EST), _at_level("fmp"), 'species, "FMP", year'),
+            table_lines(4, "Model biomass (t) by species with 95% limits", _shown_fields(["species", "year"], _EST), _at_level("species"), "species, year"),
+            table_lines(5, "Model biomass (t) of all species with 95% limits", _shown_fields(["year"], _EST), _at_level("total"), "year"),
+        ]
     ),
+    uses=("survey_zeros", "model_output"),
+    extra={
+        **NULL_GRID_SQL,
+        "limits": """
+SELECT species, region, year, biomass, var, CASE WHEN biomass - 1.96 * sqrt(var) < 0 THEN 0 ELSE biomass - 1.96 * sqrt(var) END AS lci,
+       biomass + 1.96 * sqrt(var) AS uci FROM full_grid""",
+        **ALL["combine_ci"].extra,
+        "levels": """
+SELECT level, species, year, "FMP", est, exp(ln(est) - 1.96 * sd) AS lci, exp(ln(est) + 1.96 * sd) AS uci FROM combined""",
+    },
 )
 
 _WHOLE = "coalesce(format('{{:.0f}}', {0}), 'NA')"

@@ -71,3 +71,25 @@ SELECT * FROM clean WHERE species_name <> 'thornyhead'""",
     "complexes": """
 SELECT *, CASE WHEN species_name = 'SST' THEN 'SST' ELSE 'non-SST' END AS complex FROM catch""",
 }
+
+
+# --- report lines -----------------------------------------------------------
+def text_lines(section: int, lines: list[str]) -> str:
+    """SQL of given lines of a section."""
+    return "\nUNION ALL ".join(
+        f"SELECT {section} AS section, CAST({k} AS BIGINT) AS row_no, '{line}' AS line" for k, line in enumerate(lines)
+    )
+
+
+def table_lines(section: int, title: str, fields: dict[str, str], source: str, order: str) -> str:
+    """SQL of a printed table: blank line, title, header, then rows of text fields in order."""
+    values = ", ".join(f"coalesce({text}, 'NA')" for text in fields.values())
+    return (
+        text_lines(section, ["", title, ",".join(fields)])
+        + f"\nUNION ALL SELECT {section}, 2 + row_number() OVER (ORDER BY {order}), concat_ws(',', {values}) FROM {source}"
+    )
+
+
+def number_text(value: str, digits: int) -> str:
+    """SQL of a double rounded and printed without zeros at its end."""
+    return f"regexp_replace(printf('%.{digits}f', round({value}, {digits})), '\\.?0+$', '')"

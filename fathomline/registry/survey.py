@@ -153,7 +153,7 @@ SELECT species, region, year, {_ROUND}, round(greatest(biomass - 1.96 * sqrt(var
     digits=DIGITS,
 )
 
-_NULL_GRID = {
+NULL_GRID_SQL = {
     **STRATA_SQL,
     "full_grid": """
 SELECT a.species, b.region, c.year, s.biomass, s.var, s.cv
@@ -173,7 +173,7 @@ SELECT species, region, year, {_ROUND}, round(greatest(biomass - 1.96 * sqrt(var
         "CASE WHEN biomass - 1.96 * sqrt(var) < 0 THEN 0 ELSE biomass - 1.96 * sqrt(var) END",
     ),
     uses=USES,
-    extra=_NULL_GRID,
+    extra=NULL_GRID_SQL,
     digits=DIGITS,
 )
 
@@ -189,7 +189,7 @@ FROM (SELECT species, year, region, CASE WHEN cv IS NULL OR round_even(cv, 2) =
       FROM (SELECT *, coalesce(format('{:,.0f}', biomass), '') AS amount FROM full_grid) a) c
 GROUP BY species, year""",
     uses=USES,
-    extra=_NULL_GRID,
+    extra=NULL_GRID_SQL,
 )
 
 

@@ -123,3 +123,14 @@ def test_wide_refuses_repeated_cells(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0)], "i INT, k STRING, x DOUBLE")
     with pytest.raises(Exception, match="more than one row"):
         pivot_wider(df, ["i"], "k", "x", ["a"]).collect()
+
+
+def test_numbers_follow_the_sort_at_any_partitioning(spark, rows):
+    from fathomline.operators import numbered
+
+    data = spark.range(5000).selectExpr("id * 7919 % 5000 AS x", "id % 3 AS y")
+    for parts in (1, 7, 40):
+        got = numbered(data.repartition(parts).orderBy("x"), "n", start=2)
+        assert [tuple(r) for r in got.orderBy("n").select("x", "n").collect()] == [(k, k + 2) for k in range(5000)]
+    assert numbered(data.filter("x < 0").orderBy("x")).count() == 0
+    assert numbered(data.limit(1)).columns == ["x", "y", "row_no"]
