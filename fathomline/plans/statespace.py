@@ -15,7 +15,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,6 +101,11 @@ def with_index(grid: DataFrame, index: DataFrame, species: str, region: str) ->
     return grid.join(points, ["species", "region", "year"], "left")
 
 
+def observation_sd(cv: Column) -> Column:
+    """Log-scale standard deviation of a log-normal observation with this cv."""
+    return F.sqrt(F.log(cv * cv + 1))
+
+
 def with_extra_error(grid: DataFrame, biomass: bool = False, cpue: bool = False) -> DataFrame:
     """Ask for an extra observation cv, one for all biomass or for the index, to be estimated with the model."""
     return grid.withColumns({"extra_biomass": F.lit(biomass), "extra_cpue": F.lit(cpue)})

@@ -1,5 +1,6 @@
 """Queries for the state-space model, its inputs and its outputs."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.operators import complete
@@ -247,3 +248,79 @@ CROSS JOIN (SELECT DISTINCT region FROM model_output) c
 LEFT JOIN model_output s ON s.species = a.run AND s.year = b.year AND s.region = c.region""",
     uses=("model_output",),
 )
+
+
+def _estimates(t):
+    """States of the model as the parameters of a run, with made correlations that fall with their distance."""
+    order = W.partitionBy("species").orderBy("year", "region")
+    placed = t["model_output"].select(F.col("species").alias("run"), F.row_number().over(order).alias("index"), "region", "biomsd", "biomsd_sd")
+    triangle = F.transform(F.sequence(F.lit(1), F.col("index")), lambda j: 1.0 / (1 + F.col("index") - j) - F.when(F.col("index") == j, 0.0).otherwise(0.25))
+    return placed.select("run", "index", F.col("region").alias("name"), F.col("biomsd").alias("value"), F.col("biomsd_sd").alias("std"), triangle.alias("correlations"))
+
+
+register(
+    "model_covariances",
+    lambda t: reports.correlation_matrix(reports.estimates_with_correlations(reports.correlation_text(settled(_estimates(t)), 2.88361))),
+    """
+SELECT a.run, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, a.region AS name_i, b.region AS name_j,
+       round(CASE WHEN a.i = b.i THEN 1 ELSE 1.0::DOUBLE / (1 + abs(a.i - b.i)) - 0.25 END, 6) AS cor,
+       round(CASE WHEN a.i = b.i THEN 1 ELSE 1.0::DOUBLE / (1 + abs(a.i - b.i)) - 0.25 END * a.biomsd_sd * b.biomsd_sd, 6) AS cov
+FROM placed a JOIN placed b ON a.run = b.run""",
+    uses=("model_output",),
+    extra={
+        "placed": "SELECT species AS run, row_number() OVER (PARTITION BY species ORDER BY year, region) AS i, region, biomsd_sd FROM model_output"
+    },
+)
+
+register(
+    "model_input_text",
+    lambda t: reports.input_text(_rounded_grid(t)).select("run", F.posexplode(F.split("text", "\n")).alias("line_no", "line")),
+    """
+SELECT run, CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT h.run, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]) AS line_no, unnest(['# Model start and end years ', ' ' || first || ' ' || last || ' ',
+    ' # Number of survey indices fit (i.e., regions/depth strata) ', ' ' || regions || ' ', ' # Number or process error parameters ', ' 1 ',
+    ' # Process error index ', ' ' || ones || ' ', ' # Number of surveys ', ' ' || n || ' ', ' # Survey years ', ' ' || years || ' ',
+    ' # ' || names || ' ', ' # Survey biomass ']) AS line FROM heads h
+  UNION ALL SELECT run, 14 + year - first, mu FROM rows JOIN heads USING (run)
+  UNION ALL SELECT run, 14 + n, '# Survey biomass SE' FROM heads
+  UNION ALL SELECT run, 15 + n + year - first, cv FROM rows JOIN heads USING (run)) x""",
+    uses=("survey_zeros",),
+    extra={
+        **_GRID_SQL,
+        "cells": """
+SELECT species AS run, region, year,
+       CASE WHEN round(biomass * 8) = 0 THEN '-9' ELSE regexp_replace(CAST(round(biomass * 8) / 8 AS VARCHAR), '\\.0$', '') END AS mu,
+       CASE WHEN round(cv * 256) = 0 THEN '-9' ELSE regexp_replace(CAST(round(cv * 256) / 256 AS VARCHAR), '\\.0$', '') END AS cv
+FROM inputs""",
+        "rows": "SELECT run, year, string_agg(mu, ' ' ORDER BY region) AS mu, string_agg(cv, ' ' ORDER BY region) AS cv FROM cells GROUP BY run, year",
+        "heads": """
+SELECT y.run, y.first, y.last, y.n, y.years, r.regions, r.ones, r.names
+FROM (SELECT run, min(year) AS first, max(year) AS last, count(*) AS n, string_agg(CAST(year AS VARCHAR), ' ' ORDER BY year) AS years FROM rows GROUP BY run) y
+JOIN (SELECT run, count(*) AS regions, string_agg('1', ' ') AS ones, string_agg(region, ' ' ORDER BY region) AS names
+      FROM (SELECT DISTINCT run, region FROM cells) d GROUP BY run) r ON r.run = y.run""",
+    },
+)
+
+
+def _rounded_grid(t):
+    """The model input in eighths and 256ths, which have the same short text everywhere."""
+    return _grid(t).withColumns({"biomass": F.round(F.col("biomass") * 8) / 8, "cv": F.round(F.col("cv") * 256) / 256})
+
+
+register(
+    "model_input_text_rows",
+    lambda t: reports.input_rows(reports.input_text(_rounded_grid(t), {"SBS": 2})),
+    """
+SELECT species AS run, region, year, CAST(CASE WHEN region = 'SBS' THEN 2 ELSE 1 END AS INTEGER) AS process,
+       nullif(round(biomass * 8) / 8, 0) AS biomass, round(nullif(round(cv * 256) / 256, 0), 6) AS cv FROM inputs""",
+    uses=("survey_zeros",),
+    extra=_GRID_SQL,
+)
+
+register(
+    "observation_sd",
+    lambda t: _strata(t).select("species", "region", "year", m.observation_sd(F.col("cv")).alias("sd")),
+    "SELECT species, region, year, round(sqrt(ln(cv * cv + 1)), 6) AS sd FROM strata",
+    uses=("survey_zeros",),
+    extra=STRATA_SQL,
+)

@@ -128,6 +128,38 @@ def test_model_report(spark, tmp_path, rows):
     assert estimates[1] == ("RE_a", 2, "biom", 8.7928, 0.4034, [-0.0846, 1.0])
 
 
+def test_whole_correlation_and_covariance_matrices(spark, tmp_path):
+    (tmp_path / "RE_a.cor").write_text(COR + "     3   biom      9.7750e+00 nan  -0.0267  0.0023  1.0000\n")
+    estimates = model_reports.estimates_with_correlations(model_reports.read_text(spark, str(tmp_path / "*.cor"), ".cor"))
+    cells = {(r["i"], r["j"]): r for r in model_reports.correlation_matrix(estimates).collect()}
+    assert len(cells) == 9 and (cells[2, 1]["name_i"], cells[2, 1]["name_j"]) == ("biom", "logSdLam")
+    assert cells[1, 2]["cor"] == cells[2, 1]["cor"] == -0.0846 and cells[1, 2]["cov"] == cells[2, 1]["cov"]
+    assert cells[2, 2]["cov"] == pytest.approx(0.4034**2) and cells[1, 2]["cov"] == pytest.approx(-0.0846 * 0.2365 * 0.4034)
+    assert cells[3, 1]["cor"] == -0.0267 and cells[3, 3]["cov"] is None
+    # written and read again
+    again = model_reports.estimates_with_correlations(model_reports.correlation_text(estimates, 2.88361))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, estimates.collect()))
+    numbers = model_reports.fit_numbers(spark.createDataFrame([("RE_a", PAR)], "run STRING, text STRING"), model_reports.correlation_text(estimates, 2.88361))
+    assert numbers.first()["log_det_hess"] == 2.88361
+
+
+def test_model_input_text(spark, tmp_path):
+    seen = [("SST", "AI", 1982, 6153.3, 0.2394), ("SST", "SBS", 1982, 0.0, 0.0), ("SST", "AI", 1983, None, None), ("SST", "SBS", 1983, 451.0, 0.7677)]
+    grid = spark.createDataFrame(seen, "species STRING, region STRING, year INT, biomass DOUBLE, cv DOUBLE")
+    text = model_reports.input_text(grid, {"SBS": 2}).first()
+    assert text["run"] == "SST" and text["text"].split("\n") == [
+        "# Model start and end years ", " 1982 1983 ", " # Number of survey indices fit (i.e., regions/depth strata) ", " 2 ",
+        " # Number or process error parameters ", " 2 ", " # Process error index ", " 1 2 ", " # Number of surveys ", " 2 ",
+        " # Survey years ", " 1982 1983 ", " # AI SBS ", " # Survey biomass ", "6153.3 -9", "-9 451", "# Survey biomass SE", "0.2394 -9", "-9 0.7677",
+    ]
+    (tmp_path / "RE_SST.dat").write_text(text["text"] + "\n")
+    read = model_reports.input_rows(model_reports.read_text(spark, str(tmp_path / "*.dat"), ".dat"))
+    assert sorted(map(tuple, read.collect())) == [
+        ("RE_SST", "AI", 1982, 1, 6153.3, 0.2394), ("RE_SST", "AI", 1983, 1, None, None),
+        ("RE_SST", "SBS", 1982, 2, None, None), ("RE_SST", "SBS", 1983, 2, 451.0, 0.7677),
+    ]
+
+
 def test_numbers_and_fields_as_report_text(spark):
     values = [1e-11, 1.5, 1e7, 123456789.125, 0.1 + 0.2, 1e300, None, -2.0, 0.0]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k INT, v DOUBLE").orderBy("k")
