@@ -19,17 +19,13 @@ from fathomline.functions import (
     ratio,
     strict_mean,
     strict_sum,
-    strict_sum_over,
     strict_sum_where,
 )
 from fathomline.operators import clean_names, complete, lower_names, pivot_wider, top_with_ties
 from fathomline.plans.extraction import (
     CATCH_COLUMNS,
-    MIXED_CLASS,
-    MIXED_REST,
     allocate_by_proportion,
     catch_clean,
-    short_species,
 )
 from fathomline.plans.labels import (
     COMMON_SPECIES,
@@ -65,12 +61,9 @@ def catch_cells(
     The source columns are summed as they are; the sums are then tidied and split. So
     no text is worked on record by record, and the records are neither joined nor
     doubled. A key may have several rows here: the tables sum again. ``species`` keeps these
-    names only; records that cannot contribute go before the first sum.
+    names only, once the sums are tidied: a name is not cleaned per record to be compared.
     """
     raw = lower_names(raw)
-    if species is not None:
-        mixed = [MIXED_CLASS] if {SST, MIXED_REST} & set(species) else []
-        raw = raw.filter(short_species().isin([*species, *mixed]))
     needed = list(dict.fromkeys(["year", "fmp_subarea", *keys, "species_name"]))
     sums = (
         raw.groupBy(*[CATCH_COLUMNS[key] for key in needed])
@@ -348,29 +341,35 @@ def detailed_catch_byarea(catch: DataFrame, areas: Sequence[int], by: Sequence[s
     """
     by = list(by)
     sums = yearly(classify_fishery(catch), *by, "gear_name", "target_fishery", "nmfs_area")
-    cells = sums.groupBy(*by, "gear_name", "target_fishery").agg(
-        *[strict_sum_where(F.col("nmfs_area") == a, "catch", 0.0).alias(str(a)) for a in areas],
-        strict_sum("catch").alias("Total (t)"),
+    # each sum goes to its own row and the total row, in its area's column and the total column
+    entry = F.struct(F.lit(False).alias("last"), F.col("gear_name").alias("Gear"), F.col("target_fishery").alias("Target fishery"))
+    none = F.lit(None).cast("string")
+    total = F.struct(F.lit(True).alias("last"), F.lit("Total (t)").alias("Gear"), none.alias("Target fishery"))
+    shown = F.when(F.col("nmfs_area").isin(list(areas)), F.col("nmfs_area").cast("string"))
+    long = sums.select(*by, F.inline(F.array(entry, total)), "nmfs_area", "catch")
+    long = long.select(*by, "last", "Gear", "Target fishery", F.explode(F.array_compact(F.array(shown, F.lit("Total (t)")))).alias("column"), "catch")
+    rows = [*by, "last", "Gear", "Target fishery"]
+    values = long.groupBy(*rows, "column").agg(strict_sum("catch").alias("value"))
+
+    def text(value: Column) -> Column:
+        return drop_trailing_zeros(fixed(value, 1))
+
+    whole_column = F.col("column") == "Total (t)"
+    wide = values.withColumn("text", text(F.col("value"))).groupBy(*rows).agg(
+        *[F.coalesce(F.max(F.when(F.col("column") == str(area), F.col("text"))), F.lit("0")).alias(str(area)) for area in areas],
+        F.max(F.when(whole_column, F.col("text"))).alias("Total (t)"),
+        F.max(F.when(whole_column, F.col("value"))).alias("all"),
     )
     # gears by fisheries: a few dozen rows for each table
     if by:
-        whole = strict_sum_over("Total (t)", W.partitionBy(*by))
+        whole = F.max(F.when(F.col("last"), F.col("all"))).over(W.partitionBy(*by))
     else:
-        cells = settled(cells)
-        whole = cells.agg(strict_sum(F.col("`Total (t)`"))).scalar()
-    percent = cells.withColumn("% of total", ratio(F.col("Total (t)"), whole) * 100)
-    entry = F.struct(F.col("gear_name").alias("Gear"), F.col("target_fishery").alias("Target fishery"))
-    total = F.struct(F.lit("Total (t)").alias("Gear"), F.lit(None).cast("string").alias("Target fishery"))
+        wide = settled(wide)
+        whole = wide.filter("last").agg(F.max("all")).scalar()
+    percent = wide.withColumn("% of total", text(ratio(F.col("all"), whole) * 100))
+    ordered = percent.orderBy(*by, "last", F.col("all").desc(), "Gear", "Target fishery")
     columns = [*[str(a) for a in areas], "Total (t)", "% of total"]
-    rows = percent.select(*by, *[F.col(f"`{c}`") for c in columns], F.inline(F.array(entry, total)))
-    summed = rows.groupBy(*by, "Gear", "Target fishery").agg(
-        *[strict_sum(F.col(f"`{c}`")).alias(c) for c in columns]
-    )
-    ordered = summed.orderBy(
-        *by, F.col("Gear") == "Total (t)", F.col("Total (t)").desc(), "Gear", "Target fishery"
-    )
-    text = [drop_trailing_zeros(fixed(F.col(f"`{c}`"), 1)).alias(c) for c in columns]
-    return ordered.select(*by, "Gear", "Target fishery", *text)
+    return ordered.select(*by, "Gear", "Target fishery", *[F.col(f"`{c}`") for c in columns])
 
 
 # --- discards --------------------------------------------------------------
