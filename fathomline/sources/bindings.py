@@ -58,6 +58,24 @@ FROM {lineitem} l
 JOIN {part} p ON l.l_partkey = p.p_partkey
 JOIN (SELECT o.o_orderkey, o.o_orderpriority, c.c_nationkey
       FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey) t ON l.l_orderkey = t.o_orderkey""",
+    # missing values of every kind: a gear without a name, tons, a species, and a year and area of one status only
+    "catch_gaps": """
+SELECT year, catch_activity_date, fmp_area, fmp_subarea, reporting_area_code,
+       CASE WHEN reporting_area_code = 513 THEN 'OTH' ELSE agency_gear_code END AS agency_gear_code,
+       CASE WHEN year = 1998 AND fmp_subarea = 'AI' THEN 'R' ELSE retained_or_discarded END AS retained_or_discarded,
+       trip_target_name, agency_species_code, species_group_name,
+       CASE WHEN reporting_area_code = 515 AND agency_species_code = 137 THEN NULL ELSE species_name END AS species_name,
+       CASE WHEN year = 1995 AND trip_target_name = 'Halibut' THEN NULL ELSE weight_posted END AS weight_posted
+FROM {catch_raw}""",
+    # one ton for each target, gear and species: the fisheries of one gear and one target are equal
+    "catch_ties": """
+SELECT DISTINCT 2000 AS year, CAST('2000-01-01' AS DATE) AS catch_activity_date, fmp_area, 'AI' AS fmp_subarea,
+       541 AS reporting_area_code, agency_gear_code, 'R' AS retained_or_discarded, trip_target_name, agency_species_code,
+       species_group_name, species_name, CAST(1 AS DOUBLE) AS weight_posted
+FROM {catch_raw}
+WHERE agency_gear_code NOT IN ('POT', 'JIG') AND species_name NOT LIKE '%thornyhead%'""",
+    "obs_haul_gaps": """
+SELECT haul_join, nmfs_area, gear_type, year FROM {obs_haul} WHERE year <> 1997""",
     "obs_haul": """
 SELECT o_orderkey AS haul_join, CAST(500 + o_custkey % 44 AS INT) AS nmfs_area,
        o_orderpriority AS gear_type, CAST(year(o_orderdate) AS INT) AS year
