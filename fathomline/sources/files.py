@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,51 @@ def read_database(spark: SparkSession, **options) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
 
 
+def bounds_query(query: str, column: str) -> str:
+    """Query for what a split needs to know of a numeric column: least, greatest, rows, and rows without a value."""
+    return (
+        f"SELECT MIN({column}) AS lowest, MAX({column}) AS highest, COUNT(*) AS total, COUNT(*) - COUNT({column}) AS absent"
+        f" FROM ({query}) source"
+    )
+
+
+def split_predicates(column: str, lowest, highest, total: int, absent: int, rows: int = 1_000_000, most: int = 1024) -> list[str]:
+    """Conditions that part a table into about ``rows`` rows each; every row meets exactly one of them.
+
+    Ranges of equal width between the bounds, the first and last without an end, so that rows written
+    after the bounds were read are not lost; rows without a value have a condition of their own, which is there
+    whether or not any were seen. Numbers of any length stay whole. Without values there is one range.
+    """
+    missing = f"{column} IS NULL"
+    if lowest is None or highest is None:
+        return [missing, f"{column} IS NOT NULL"]
+    low, high = int(math.floor(lowest)), int(math.ceil(highest))
+    parts = max(1, min(most, -(-(total - absent) // rows), high - low + 1))
+    cuts = sorted({low + (high - low) * k // parts for k in range(1, parts)})
+    if not cuts:
+        return [missing, f"{column} IS NOT NULL"]
+    ranges = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [missing, f"{column} < {cuts[0]}", *ranges, f"{column} >= {cuts[-1]}"]
+
+
+def read_database_split(
+    spark: SparkSession,
+    url: str,
+    query: str,
+    column: str,
+    rows: int = 1_000_000,
+    properties: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Database query scan in parts of about ``rows`` rows, cut on a numeric column by bounds that the source tells.
+
+    One small query asks for the bounds and the number of missing values; each part is then read by a task of its own.
+    """
+    known = read_database(spark, url=url, query=bounds_query(query, column), properties=properties).first()
+    found = {name.lower(): value for name, value in known.asDict().items()}
+    conditions = split_predicates(column, found["lowest"], found["highest"], int(found["total"]), int(found["absent"]), rows)
+    return spark.read.jdbc(url, f"({query}) source", predicates=conditions, properties=dict(properties or {}))
+
+
 def write_report(lines: DataFrame, path: str) -> DataFrame:
     """Write report lines in order; part files follow each other in name order. Returns the lines read back."""
     lines.orderBy("section", "row_no").select("line").write.mode("overwrite").text(path)

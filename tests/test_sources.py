@@ -1,6 +1,8 @@
 import os
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fathomline.operators import clean_names
@@ -207,3 +209,64 @@ def test_older_archive_export(spark):
         "X   #STOCK", "5   #TIER", "#TOTALCATCH", "1", "2000 2001", "2 3", "#ABUNDANCE", "1", "2000", "10",
         "#SURVEYNAMES   AI   SBS", "1 1", "#SURVEY1", "2000 2002", "7 8", "#SURVEY2", "2002", "1",
     ]
+
+
+@pytest.mark.parametrize(
+    "values, rows",
+    [
+        ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 3),
+        ([None, None, 5], 1),
+        ([None], 10),
+        ([], 10),
+        ([7] * 20, 2),
+        ([-5, -1, 0, 1, 400], 1),
+        ([0.25, 0.75, 1.5, None], 1),
+        ([24213002718000001024, 24213002718000001024 - 10**6, None], 1),
+    ],
+)
+def test_split_of_a_database_read_by_its_own_bounds(values, rows):
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (k DECIMAL(38, 4), n INTEGER)")
+    if values:
+        duck.executemany("INSERT INTO t VALUES (?, ?)", [(v, i) for i, v in enumerate(values)])
+    bounds = duck.sql(files.bounds_query("SELECT * FROM t", "k")).fetchall()[0]
+    conditions = files.split_predicates("k", *bounds, rows=rows)
+    assert conditions == files.split_predicates("k", *bounds, rows=rows) and len(conditions) <= 1025
+    duck.executemany("INSERT INTO t VALUES (?, ?)", [(-10**9, 1000), (10**9, 1001), (None, 1002)])  # written since
+    met = [duck.sql(f"SELECT n FROM t WHERE {c}").fetchall() for c in conditions]
+    everything = sorted(n for part in met for (n,) in part)
+    assert everything == sorted(n for (n,) in duck.sql("SELECT n FROM t").fetchall())
+    whole = [len([1 for (n,) in part if n < 1000]) for part in met]
+    assert sum(whole) == len(values)
+    if len(set(values) - {None}) == len(values) == 10:
+        assert max(whole) <= rows + 1
+
+
+def test_split_read_asks_the_source_first():
+    asked = {}
+
+    class Reader:
+        def format(self, kind):
+            asked["format"] = kind
+            return self
+
+        def options(self, **options):
+            asked["bounds"] = options
+            return self
+
+        def load(self):
+            return self
+
+        def first(self):
+            return Row(LOWEST=1, HIGHEST=10, TOTAL=10, ABSENT=1)
+
+        def jdbc(self, url, table, predicates, properties):
+            asked["read"] = (url, table, predicates, properties)
+            return "rows"
+
+    class Session:
+        read = Reader()
+
+    assert files.read_database_split(Session(), "jdbc:x", "SELECT k FROM t", "k", rows=5, properties={"user": "u"}) == "rows"
+    assert asked["bounds"]["query"].startswith("SELECT MIN(k)") and asked["bounds"]["user"] == "u"
+    assert asked["read"] == ("jdbc:x", "(SELECT k FROM t) source", ["k IS NULL", "k < 5", "k >= 5"], {"user": "u"})
