@@ -45,6 +45,6 @@ def register(name: str, build, sql: str | None = None, uses=(), extra=None, digi
 
 
 def load() -> dict[str, Query]:
-    from fathomline.registry import catch, extraction, gaps, lengths, limits, models, survey  # noqa: F401
+    from fathomline.registry import catch, extraction, gaps, lengths, limits, models, sources, survey  # noqa: F401
 
     return ALL

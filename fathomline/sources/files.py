@@ -24,7 +24,8 @@ def read_csv(spark: SparkSession, path, schema) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` and return what was written, read back, so that a pipeline goes on without redoing it."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    # quotes inside a field are doubled, as the reader takes them
+    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
     return read_csv(df.sparkSession, path, df.schema)
 
 
