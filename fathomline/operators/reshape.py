@@ -69,12 +69,14 @@ def complete(
     keys: Sequence[str | Sequence[str]],
     fill: Mapping[str, object] | None = None,
     also: Mapping[str, Sequence] | None = None,
+    domains: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
     """Add the combinations of observed key values that have no row.
 
     ``keys`` are key columns; a nested list counts as one key whose combinations
     are taken as observed. ``fill`` replaces missing measures, present ones too.
-    ``also`` gives known values of a key that may not be observed.
+    ``also`` gives known values of a key that may not be observed, ``domains`` all values that a key can
+    have: these are dealt out to every row as they are, without looking for them.
 
     The first key stays distributed and meets the distinct values of each other key, which
     are dealt to salts: a salt has all values of the other key and its share of the rows
@@ -90,6 +92,9 @@ def complete(
     product = cells.select(*first).distinct()
     salts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for group in others:
+        if group[0] in (domains or {}):
+            product = product.withColumn(group[0], F.explode(F.array(*[F.lit(v) for v in domains[group[0]]])))
+            continue
         values = cells.select(*group)
         known = (also or {}).get(group[0]) if len(group) == 1 else None
         if known:

@@ -146,7 +146,7 @@ def _key_areas(df: DataFrame) -> DataFrame:
 def catch_complex_area(catch: DataFrame) -> DataFrame:
     """SST and non-SST catch by year and reporting area, selected areas labelled."""
     sums = yearly(with_complex(catch), "year", "nmfs_area", "complex")
-    full = complete(sums, ["nmfs_area", "year", "complex"], {"catch": 0.0}, {"complex": COMPLEX_ORDER})
+    full = complete(sums, ["nmfs_area", "year", "complex"], {"catch": 0.0}, domains={"complex": COMPLEX_ORDER})
     return _key_areas(full).withColumn("complex_order", ordinal(F.col("complex"), COMPLEX_ORDER))
 
 
@@ -294,7 +294,7 @@ def catch_fishery_region(catch: DataFrame, n: int = 5) -> DataFrame:
         .agg(strict_sum("catch").alias("catch"))
     )
     keys = ["year", "region2", "plot_fishery", "complex"]
-    full = complete(sums, keys, {"catch": 0.0}, {"region2": REGION_ORDER})
+    full = complete(sums, keys, {"catch": 0.0}, domains={"region2": REGION_ORDER})
     return full.withColumn("region_order", ordinal(F.col("region2"), REGION_ORDER))
 
 

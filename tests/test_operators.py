@@ -134,3 +134,12 @@ def test_numbers_follow_the_sort_at_any_partitioning(spark, rows):
         assert [tuple(r) for r in got.orderBy("n").select("x", "n").collect()] == [(k, k + 2) for k in range(5000)]
     assert numbered(data.filter("x < 0").orderBy("x")).count() == 0
     assert numbered(data.limit(1)).columns == ["x", "y", "row_no"]
+
+
+def test_complete_with_a_closed_domain(spark, rows):
+    from fathomline.operators import complete
+
+    cells = spark.createDataFrame([(2000, "b", 1.0), (2001, "a", 2.0)], "year INT, part STRING, catch DOUBLE")
+    got = rows(complete(cells, ["year", "part"], {"catch": 0.0}, domains={"part": ["a", "b", "c"]}))
+    assert got == [(2000, "a", 0.0), (2000, "b", 1.0), (2000, "c", 0.0), (2001, "a", 2.0), (2001, "b", 0.0), (2001, "c", 0.0)]
+    assert rows(complete(cells.limit(0), ["year", "part"], domains={"part": ["a"]})) == []
