@@ -162,13 +162,41 @@ def _search(columns: list[np.ndarray], distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(original[moved]), pa.array(original[label[moved]])], ["a", "b"])
 
 
+def _child(width: int) -> str:
+    """The ``deep`` bits of a code after its block."""
+    return f"CASE WHEN deep = 0 THEN 0L ELSE shiftrightunsigned(shiftleft(code, {width}), 64 - deep) END"
+
+
+def _depths(turned: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(turn, block, deep) of the blocks with more than one code: how many further bits part a block into children.
+
+    None for a block of at most ``CELL`` codes; else as many as it takes until no child has more, tried out on
+    the codes themselves: codes that share their next bits are parted by later ones.
+    """
+    most = 64 - width
+    counts = turned.groupBy("turn", "block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    extra = F.least(F.ceil(F.log2(F.col("n") / F.lit(CELL))), F.lit(most)).cast("int")
+    depths = scratch.keep(counts.select("turn", "block", F.when(F.col("n") > CELL, extra).otherwise(0).alias("deep")))
+    while not depths.filter("deep > 0").isEmpty():
+        children = turned.join(depths.filter(f"deep > 0 AND deep < {most}"), ["turn", "block"]).withColumn("child", F.expr(_child(width)))
+        sizes = children.groupBy("turn", "block", "child").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        full = scratch.keep(sizes.groupBy("turn", "block").agg(F.max("n").alias("n")))
+        if full.isEmpty():
+            break
+        more = F.when(F.col("n").isNull(), 0).otherwise(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(CELL))), F.lit(2)))
+        depths = scratch.keep(
+            depths.join(full, ["turn", "block"], "left").select("turn", "block", F.least(F.col("deep") + more, F.lit(most)).cast("int").alias("deep"))
+        )
+    return depths
+
+
 def linked(codes: DataFrame, scratch: Scratch, distance: int = 2) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` at most ``distance`` bits apart.
 
     The fingerprints are put in ``distance + 1`` Gray orders, each beginning with another block
     of bits: two fingerprints within the distance agree in one block, which makes them meet
     below the same upper node of that order. A node with over ``CELL`` fingerprints is split by
-    its next bits into children; a fingerprint belongs to one child and is also looked up in the
+    its next bits into children until none has more; a fingerprint belongs to one child and is also looked up in the
     greater ones that differ from its own by at most the distance, so none holds a hot block.
     Children are searched as whole cells, many per task. From each chunk comes a spanning
     forest, at most one link per fingerprint.
@@ -182,10 +210,9 @@ def linked(codes: DataFrame, scratch: Scratch, distance: int = 2) -> DataFrame:
     turned = codes.select("fp", F.inline(orders)).select(
         "fp", "turn", "code", F.shiftrightunsigned("code", 64 - width).alias("block")
     )
-    counts = turned.groupBy("turn", "block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    extra = F.least(F.ceil(F.log2(F.col("n") / F.lit(CELL))), F.lit(min(20, 64 - width))).cast("int")
-    placed = turned.join(counts, ["turn", "block"]).withColumn("deep", F.when(F.col("n") > CELL, extra).otherwise(0))
-    next_bits = F.expr(f"CASE WHEN deep = 0 THEN 0L ELSE shiftrightunsigned(shiftleft(code, {width}), 64 - deep) END")
+    depths = _depths(turned, width, scratch)
+    placed = turned.join(depths, ["turn", "block"])
+    next_bits = F.expr(_child(width))
     masks = "array(0L)"
     for k in range(1, distance + 1):
         names = [f"i{j}" for j in range(k)]

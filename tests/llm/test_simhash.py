@@ -1,5 +1,6 @@
 """Fingerprints, the index and the groups against plain versions of each."""
 
+import os
 import random
 import re
 
@@ -78,6 +79,36 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, cell):
     assert (got == simhash.forest(a, b, len(codes))).all()
 
 
+def test_codes_that_share_leading_bits_are_parted_by_later_ones(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 64)
+    made = np.random.default_rng(9)
+    low = np.unique(made.integers(0, 1 << 24, 700))
+    codes = [int(0x5A5A5A5A00000000 | int(c) << 6) for c in low]  # 32 leading bits and six trailing ones in common
+    scratch = Scratch(spark)
+    table = spark.createDataFrame([(c,) for c in codes], "fp long")
+    turned = table.select(F.lit(0).alias("turn"), F.col("fp").alias("code"), F.shiftrightunsigned("fp", 43).alias("block"))
+    depths = simhash._depths(turned, 21, scratch)
+    assert depths.count() == 1 and depths.first()["deep"] > 11
+    sizes = turned.join(depths, ["turn", "block"]).groupBy(F.expr(simhash._child(21)).alias("child")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 64
+    links = simhash.linked(table, scratch).collect()
+    place = {c: k for k, c in enumerate(codes)}
+    got = simhash.forest(np.array([place[r.a] for r in links], int), np.array([place[r.b] for r in links], int), len(codes))
+    all_codes = np.array(codes)
+    a, b = np.nonzero(np.bitwise_count(all_codes[:, None] ^ all_codes[None, :]) <= 2)
+    assert (got == simhash.forest(a, b, len(codes))).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_query(spark):
+    from fathomline.llm.queries import op1_simhash
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = op1_simhash(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got.collect()} == brute_groups(rows, 2)
+
+
 def test_repeated_rows_and_missing_ids(spark):
     rows = [(4, "x y z"), (4, "x y z"), (None, "x y z"), (None, "lonely words here now"), (9, "x y z")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
