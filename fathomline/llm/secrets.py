@@ -44,6 +44,8 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 20, hint="AKIA"),
     Rule("hex", r"[0-9a-f]+", 24),
 )
+# blobs that a task remembers, so that rows that repeat one are not scanned again
+SEEN = 100_000
 FINDINGS = "blob string, rule string, kind string, first long, last long"
 
 
@@ -65,13 +67,22 @@ class _Scanner:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Findings of (blob, content, todo): ``todo`` lists the rule versions that have not seen the blob."""
+    """Findings of (blob, content, todo): ``todo`` lists the rule versions that have not seen the blob.
+
+    Rows that repeat a blob lie in one task, which scans it once while it is among the last ``SEEN`` ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = {rule.version(): _Scanner(rule) for rule in rules}
+        seen: dict[str, None] = {}
         for keys, contents, todo in rows_of(batches):
             out: list[tuple] = []
             for key, content, versions in zip(keys, contents, todo):
+                if key in seen:
+                    continue
+                seen[key] = None
+                if len(seen) > SEEN:
+                    del seen[next(iter(seen))]
                 text = content.decode("utf-8", "replace")
                 for version in versions:
                     kind = scanners[version].rule.kind
@@ -97,7 +108,9 @@ class Ledger:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def scanned(self) -> DataFrame:

@@ -60,6 +60,15 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert sorted(map(str, first)) == sorted(map(str, again))
 
 
+def test_repeated_rows_are_scanned_once(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, TEXTS[2])] * 50 + [(1, TEXTS[3])] * 20 + [(2, TEXTS[2])], "doc_id long, text string").repartition(6)
+    found = secrets.scan(docs, ledger=folder).collect()
+    assert len(found) == 71
+    rows = spark.read.parquet(f"{folder}/findings")
+    assert rows.count() == rows.distinct().count() == sum(map(sum, (brute(TEXTS[k])[:3] for k in (2, 3))))
+
+
 def test_no_rows(spark):
     assert secrets.digest(secrets.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
