@@ -25,5 +25,10 @@ def training_rows(labels: DataFrame, label: str, folds: int, fold: int, rows: in
 
 
 def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in the sample, with their label; the sample's rows are bounded, so it is broadcast."""
-    return docs.join(F.broadcast(sample), "doc_id")
+    """(doc_id, text, label) of ``docs`` in the sample, one row per id: the text of least hash where an id has several.
+
+    The sample's rows are bounded, so it is broadcast, and so are the rows that come back, however often an id repeats.
+    """
+    rows = docs.join(F.broadcast(sample), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return rows.groupBy("doc_id").agg(least, F.max("label").alias("label")).select("doc_id", "least.text", "label")
