@@ -52,12 +52,11 @@ def _near(firsts: DataFrame, source: DataFrame, near_from: int, scratch: Scratch
     flagged = shared.select("h1", "h2", "pos", F.get(ways, F.col("way")).alias("state"))
     flagged = flagged.groupBy("h1", "h2", "pos").agg(F.collect_list("state").alias("states"))
     by_doc = flagged.groupBy("pos.doc_id").agg(F.collect_list(F.struct("h1", "h2", "pos", "states")).alias("wanted"))
-    fetched = source.join(by_doc.hint("shuffle_hash"), "doc_id").select("text", F.explode("wanted").alias("w")).distinct()
-    states = scratch.keep(
-        fetched.select("w.*", F.split_part("text", F.lit("\n"), F.col("w.pos.line_no") + 1).alias("line")).select(
-            "h1", "h2", "pos", "line", F.inline("states")
-        ).drop("key")
-    )
+    fetched = source.join(by_doc.hint("shuffle_hash"), "doc_id").select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    # a text is split once; only its wanted lines leave it, each once however often its document comes
+    lines = fetched.select(F.expr("inline(transform(wanted, w -> struct(w AS w, get(lines, w.pos.line_no) AS line)))"))
+    once = lines.select("w.*", "line").dropDuplicates(["h1", "h2"])
+    states = scratch.keep(once.select("h1", "h2", "pos", "line", F.inline("states")).drop("key"))
     scratch.release()
     block = F.col("c") - F.col("lo") - F.col("right")
     c, lo, right, line = (F.col(x) for x in ("c", "lo", "right", "line"))
@@ -119,7 +118,10 @@ def remove_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     their own, in the order of a hash of the text; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    keyed = with_document_key(docs, scratch)
+    # further columns travel as one, so that their names cannot clash
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
+    whole = docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("row"))
+    keyed = with_document_key(whole, scratch)
     source = keyed.select(F.col("_key").alias("doc_id"), "text")
     split = source.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     split = split.filter(F.btrim("line", F.lit(BLANKS)) != "")
@@ -149,22 +151,28 @@ def remove_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     nearly = lines.select("h1", "h2", "pos").join(near, ["h1", "h2"]).select("pos")
     gone = again.unionAll(nearly).groupBy("pos.doc_id").agg(F.collect_set("pos.line_no").alias("_gone"))
 
-    named = keyed.drop("n_lines", "n_removed", "_gone", "_lines")
-    joined = named.join(gone.withColumnRenamed("doc_id", "_key").hint("shuffle_hash"), "_key", "left")
+    joined = keyed.join(gone.withColumnRenamed("doc_id", "_key").hint("shuffle_hash"), "_key", "left")
     cut = joined.withColumn("_lines", F.split("text", "\n", -1))
     left = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get(F.col("_lines"), i)
     )
-    cut = cut.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-    cut = cut.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    cut = cut.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    cut = cut.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
-    cut = cut.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_gone", "_lines", "_key", "_tag")]
-    return cut.select(*[f"`{c}`" for c in names], "n_lines", "n_removed")
+    whole_text = F.col("_gone").isNull()
+    cut = cut.withColumn("text", F.when(whole_text, F.col("text")).otherwise(F.array_join(left, "\n")))
+    kinds = dict(docs.dtypes)
+
+    def given(name: str) -> Column:
+        if name in ("doc_id", "text"):
+            return F.col(name)
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.when(whole_text, own).otherwise(F.length("text").cast(kinds[name]))
+        return own.alias(name)
+
+    def number(values: str) -> Column:
+        return F.greatest(F.coalesce(F.size(values), F.lit(0)), F.lit(0)).cast("long")
+
+    kept = [given(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut.select(*kept, number("_lines").alias("n_lines"), number("_gone").alias("n_removed"))
 
 
 #: The same rows for (doc_id, n_lines, n_removed, text) over the view documents.

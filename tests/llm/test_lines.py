@@ -68,6 +68,24 @@ def test_cases(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("near_from", [1, 2])
+def test_short_lines_are_compared_too_if_asked(spark, near_from):
+    rows = list(enumerate(TEXTS)) + [(90, "a\nb\nab\nabc\n\nx"), (91, "ab\nabcd\nb\nzz\nz\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.remove_lines(docs, near_from).collect()}
+    assert got == brute(rows, near_from)
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["doc_id", "text", "_key", "_tag", "_gone", "_lines", "a.b", "row", "h1"]
+    rows = [(k, t, 1, "t", [2], "l", k, "r", 0.5) for k, t in enumerate(TEXTS[:4])] + [(0, BASE, 1, "t", [2], "l", 0, "r", 0.5)]
+    kinds = ["long", "string", "int", "string", "array<int>", "string", "long", "string", "double"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    found = lines.remove_lines(docs)
+    assert found.columns == [*names, "n_lines", "n_removed"] and found.dtypes[:9] == docs.dtypes
+    assert sorted(tuple(r)[2:9] for r in found.collect()) == sorted(r[2:] for r in rows)
+
+
 def test_repeated_rows_missing_ids_and_counts(spark):
     rows = [(5, BASE, 1), (5, BASE, 1), (None, BASE, 2), (7, BASE + "\nnew", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
