@@ -20,7 +20,7 @@ from fathomline.llm.labelled import held_out, training_rows, with_labels
 FOLDS, FOLD = 5, 0
 TRAINING_ROWS = 20_000
 WORDS = 512
-CACHE = 300_000
+CACHE = 200_000
 OTHER, EDGE, SYMBOLS = 26, 27, 28
 ORDER = 4
 
@@ -37,6 +37,10 @@ SIGNS = re.escape("".join(LEET))
 PIECES = re.compile(rf"[^\W_][\w{SIGNS}{re.escape(JOINTS)}]*|[{SIGNS}][\w{SIGNS}{re.escape(JOINTS)}]+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 REPEATS = re.compile(r"(.)\1*")
+DOUBLED_LETTER = re.compile(r"(.)\1")
+# three runs of white-space separated characters in a row with at most one letter or digit each
+SIGN = r"(?:[^\w\s]|_)*"
+SPACED = re.compile(rf"(?<!\S)(?:(?=\S){SIGN}(?:[^\W_]{SIGN})?\s+){{2}}(?=\S){SIGN}(?:[^\W_]{SIGN})?(?!\S)")
 DOTTED = re.compile(rf"(?:[\w{SIGNS}][{re.escape(JOINTS)}]){{2,}}[\w{SIGNS}]")
 TAIL = re.compile(r"[\W_]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,7 +48,7 @@ AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 MARKS = re.compile(rf"[^\w{SIGNS}]|_")
 
 
-@lru_cache(maxsize=CACHE)
+@lru_cache(maxsize=4096)
 def single(run: str) -> str:
     """The one character of a run within punctuation, a sign only where there is nothing else; or empty."""
     if len(run) == 1:
@@ -213,7 +217,7 @@ class Reader(dict):
     def kept(self, word: str) -> list:
         """What is remembered of a word, or of the known words that it is with letters repeated."""
         own = self.keep(word)
-        if own is not None or not self.known:
+        if own is not None or not self.known or not DOUBLED_LETTER.search(word):
             return [] if own is None else [own]
         shape, lengths = letters_of(word)
         meant = [w for w, least in self.known.get(shape, ()) if all(a <= b for a, b in zip(least, lengths))]
@@ -233,6 +237,8 @@ class Reader(dict):
         for kept in map(self.__getitem__, set(runs)):
             if kept:
                 found.update(kept)
+        if not SPACED.search(text):
+            return found
         alone = list(map(single, runs))
         marks = bytes(map(bool, alone))
         at = marks.find(b"\1\1\1")
@@ -363,17 +369,17 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` whose text scores below 0.5, all columns as they were; nothing is shuffled."""
+    """Rows of ``docs`` whose text scores below 0.5, all columns as they were; nothing is shuffled.
+
+    Only the text goes to the Python worker and only the score comes back.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = sent.value.reader()
-        for batch in batches:
-            clean = [
-                sent.value.score(reader.of(t or "")) < 0.5
-                for at in range(0, batch.num_rows, 256)
-                for t in batch.column("text").slice(at, 256).to_pylist()
-            ]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for texts in batches:
+            parts = rows_of([pa.RecordBatch.from_arrays([texts], ["text"])])
+            found = [sent.value.score(reader.of(t.decode("utf-8", "replace"))) for (part,) in parts for t in part]
+            yield pa.array(found, pa.float64())
+
+    return docs.filter(F.arrow_udf(run, "double")(as_bytes()) < 0.5)
