@@ -14,6 +14,15 @@ from fathomline.plans import catch as tables
 from fathomline.session import settled
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals, halves away from zero, ties seen at 14 significant digits.
+
+    A sum of doubles hangs on their order in its last digits. A tie that it misses by them is
+    still one, so that a printed number does not hang on the partitions.
+    """
+    return F.round(F.format_string("%.13e", value).try_cast("double"), digits)
+
+
 def plain_double(value: Column) -> Column:
     """A double with 15 significant digits and without exponent, where 38 digits can hold it so."""
     short = F.format_string("%.14e", value).try_cast("double")
@@ -58,11 +67,11 @@ def text_section(spark, number: int, lines: Sequence[str]) -> DataFrame:
 def table_section(number: int, title: str, df: DataFrame, digits: int | None = None) -> DataFrame:
     """Title, header and rows of a table, which keeps the order it comes in.
 
-    ``digits`` rounds the doubles that are printed.
+    ``digits`` rounds the doubles that are printed, see ``rounded``.
     """
     head = text_section(df.sparkSession, number, ["", title, ",".join(df.columns)])
     if digits is not None:
-        df = df.select(*[(F.round(F.col(f"`{c}`"), digits) if k == "double" else F.col(f"`{c}`")).alias(c) for c, k in df.dtypes])
+        df = df.select(*[(rounded(F.col(f"`{c}`"), digits) if k == "double" else F.col(f"`{c}`")).alias(c) for c, k in df.dtypes])
     rows = _lines(df, number, F.monotonically_increasing_id(), F.concat_ws(",", *_printed(df)), block=1)
     return head.unionByName(rows)
 

@@ -228,6 +228,14 @@ def test_biomass_report(spark):
     assert [line.split(",")[1] for line in got[got.index("year,est,lci,uci") + 1 :]] == ["16.5"]
 
 
+def test_report_ties_do_not_hang_on_the_order_of_a_sum(spark):
+    # 594668.3285 as three orders of the same sum give it
+    sums = [594668.3284999998, 594668.3285, 594668.3285000001, -594668.3284999998, 0.12349, None]
+    df = spark.createDataFrame(list(enumerate(sums)), "k INT, est DOUBLE").orderBy("k")
+    got = [r["line"] for r in report.table_section(1, "t", df, 3).filter("block = 1").collect()]
+    assert got == ["0,594668.329", "1,594668.329", "2,594668.329", "3,-594668.329", "4,0.123", "5,NA"]
+
+
 # --- lengths -----------------------------------------------------------------
 def test_compositions_sum_to_one(spark, rows):
     schema = "source STRING, fmp_subarea STRING, species_code INT, year INT, length DOUBLE, frequency DOUBLE"
