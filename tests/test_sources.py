@@ -108,6 +108,13 @@ COR = """ The logarithm of the determinant of the hessian = 2.88361
 """
 
 
+def test_report_file_keeps_ties(spark, tmp_path):
+    sums = spark.createDataFrame([(1, 594668.3284999998), (2, 594668.3285)], "k INT, est DOUBLE").orderBy("k")
+    lines = report.stack_sections([report.table_section(1, "t", sums, 3)])
+    written = files.write_report(lines, str(tmp_path / "report")).collect()
+    assert [r["line"] for r in written] == ["", "t", "k,est", "1,594668.329", "2,594668.329"]
+
+
 def test_model_report(spark, tmp_path, rows):
     for run in ("RE_a", "RE_b"):
         (tmp_path / f"{run}_rwout.rep").write_text(REPORT)
