@@ -104,14 +104,21 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple
 
 def _leftmost(grams: np.ndarray, least: np.ndarray, n: int, span: int) -> np.ndarray:
     """For each window the first place among its grams that holds the least value."""
-    at = np.flatnonzero(_is_least(grams, least, n, span))
+    found = _is_least(grams, least, n, span)
+    at = np.flatnonzero(found)
     # the next such place at or after the window start whose value is the window's least
-    place = at[np.searchsorted(at, np.arange(n))]
-    while True:
-        wrong = np.flatnonzero(grams[place] != least)
-        if not len(wrong):
-            return place
-        place[wrong] = at[np.searchsorted(at, place[wrong], side="right")]
+    number = _before(found)[:n]
+    values = grams[at]
+    wrong = np.flatnonzero(values[number] != least)
+    while len(wrong):
+        number[wrong] += 1
+        wrong = wrong[values[number[wrong]] != least[wrong]]
+    return at[number]
+
+
+def _before(marked: np.ndarray) -> np.ndarray:
+    """How many places before each one are marked."""
+    return np.cumsum(marked) - marked
 
 
 def _is_least(grams: np.ndarray, least: np.ndarray, n: int, span: int) -> np.ndarray:
@@ -130,8 +137,9 @@ def _is_least(grams: np.ndarray, least: np.ndarray, n: int, span: int) -> np.nda
 def type_b(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last one is not."""
     n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    following = np.searchsorted(differs, np.arange(n))
+    unlike = np.r_[text[:-1] != text[1:], False]
+    differs = np.flatnonzero(unlike)
+    following = _before(unlike)
     found = following < len(differs)
     at = differs[np.minimum(following, len(differs) - 1)] if len(differs) else np.zeros(n, np.int64)
     return found & (text[np.minimum(at, n - 1)] < text[np.minimum(at + 1, n - 1)])
@@ -139,12 +147,10 @@ def type_b(text: np.ndarray) -> np.ndarray:
 
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight symbols from each position as one big-endian number, zeros beyond the end."""
-    padded = np.r_[text.astype(np.uint64), np.zeros(8, np.uint64)]
-    n = len(text)
-    out = np.zeros(n, np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | padded[k : k + n]
-    return np.r_[out, np.uint64(0)]
+    out = np.r_[text.astype(np.uint64), np.zeros(8, np.uint64)]
+    for k in (1, 2, 4):
+        out = out[:-k] << np.uint64(8 * k) | out[k:]
+    return out
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -248,6 +254,9 @@ def repeated_windows(parts: list[bytes], owner: np.ndarray, start: np.ndarray, c
     group = np.cumsum(~same)
     whole = offset[order] < count[part[order]]
     order, group = order[whole], group[whole]
+    # a window that is alone in its group is no repeat and need not be sorted
+    several = np.bincount(group)[group] > 1
+    order, group = order[several], group[several]
     who, where = owner[part[order]], start[part[order]] + offset[order]
     sort = np.lexsort((where, who, group))
     order, group, who, where = order[sort], group[sort], who[sort], where[sort]

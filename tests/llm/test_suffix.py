@@ -124,3 +124,13 @@ def test_query(spark):
     texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
     got = {r.doc_id: tuple(r)[1:] for r in op4_suffix(spark, folder).collect()}
     assert got == brute(texts)
+
+
+def test_windows_that_are_alone_are_not_sorted(monkeypatch):
+    sizes = []
+    sort = np.lexsort
+    monkeypatch.setattr(suffix.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    parts = [b"abcdefghij", b"klmnopqrst", b"ABCabcdeXY"]
+    part, offset = suffix.repeated_windows(parts, np.arange(3), np.zeros(3, np.int64), np.full(3, 6), 5)
+    assert (part.tolist(), offset.tolist()) == ([2], [3])
+    assert sizes[-1] == 2
