@@ -15,12 +15,14 @@ from fathomline.session import settled
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """A double with ``digits`` decimals, halves away from zero, ties seen at 14 significant digits.
+    """A double with ``digits`` decimals, halves away from zero, a tie being seen within 1e-15 of the value.
 
     A sum of doubles hangs on their order in its last digits. A tie that it misses by them is
-    still one, so that a printed number does not hang on the partitions.
+    still one, so that a printed number does not hang on the partitions. What is looked over is never
+    more than a thousandth of the last decimal: a larger value, or one further from a tie, is rounded as it is.
     """
-    return F.round(F.format_string("%.13e", value).try_cast("double"), digits)
+    missed = F.least(F.abs(value) * 1e-15, F.lit(10.0 ** -(digits + 3)))
+    return F.round(value + F.signum(value) * missed, digits)
 
 
 def plain_double(value: Column) -> Column:

@@ -236,6 +236,14 @@ def test_report_ties_do_not_hang_on_the_order_of_a_sum(spark):
     assert got == ["0,594668.329", "1,594668.329", "2,594668.329", "3,-594668.329", "4,0.123", "5,NA"]
 
 
+def test_report_numbers_near_a_tie_are_not_ties(spark):
+    # variances at sf0.1 and at 60 times that: below a tie by more than the last digits of a sum
+    values = [227068565.53349668, 1861795907.26447, 123456789012.345, -227068565.53349668, 0.0, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "k INT, var DOUBLE").orderBy("k")
+    got = [r["line"].split(",")[1] for r in report.table_section(1, "t", df, 3).filter("block = 1").collect()]
+    assert got == ["227068565.533", "1861795907.264", "123456789012.345", "-227068565.533", "0", "Infinity", "NaN"]
+
+
 # --- lengths -----------------------------------------------------------------
 def test_compositions_sum_to_one(spark, rows):
     schema = "source STRING, fmp_subarea STRING, species_code INT, year INT, length DOUBLE, frequency DOUBLE"

@@ -115,6 +115,13 @@ def test_report_file_keeps_ties(spark, tmp_path):
     assert [r["line"] for r in written] == ["", "t", "k,est", "1,594668.329", "2,594668.329"]
 
 
+def test_report_file_rounds_up_only_ties(spark, tmp_path):
+    variances = spark.createDataFrame([(1, 227068565.53349668), (2, 123456789012.345)], "k INT, var DOUBLE").orderBy("k")
+    lines = report.stack_sections([report.table_section(1, "t", variances, 3)])
+    written = files.write_report(lines, str(tmp_path / "report")).collect()
+    assert [r["line"] for r in written] == ["", "t", "k,var", "1,227068565.533", "2,123456789012.345"]
+
+
 def test_model_report(spark, tmp_path, rows):
     for run in ("RE_a", "RE_b"):
         (tmp_path / f"{run}_rwout.rep").write_text(REPORT)
